@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silkloom.llm import license_scan, sentencepiece_codec, simhash
+from silkloom.llm import license_scan, sentencepiece_codec, simhash, substring_dedup
 
 PIECES = "piece_bpe_32k.model"
 
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
@@ -30,7 +34,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_simhash, op8_sentencepiece, op10_license_scan]
+    named = [op2_simhash, op7_substring_dedup, op8_sentencepiece, op10_license_scan]
     return {f.__name__: f for f in named}
 
 
