@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from silkloom.llm import license_scan, sentencepiece_codec, simhash, substring_dedup
+from silkloom.llm import language_id, license_scan, sentencepiece_codec, simhash, substring_dedup
 
 PIECES = "piece_bpe_32k.model"
 
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_digests(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_simhash, op7_substring_dedup, op8_sentencepiece, op10_license_scan]
+    named = [op2_simhash, op6_language_id, op7_substring_dedup, op8_sentencepiece, op10_license_scan]
     return {f.__name__: f for f in named}
 
 
