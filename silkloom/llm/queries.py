@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from silkloom.llm import embedding_dedup, html_extract, language_id, license_scan, sentencepiece_codec, simhash, substring_dedup
+from silkloom.llm import embedding_dedup, html_extract, language_id, license_scan, sentencepiece_codec, simhash, source_mix, substring_dedup, token_counts
 
 PIECES = "piece_bpe_32k.model"
 
@@ -21,10 +22,20 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "fingerprint", "component_id")
 
 
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = source_mix.mix(docs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source", "lang")}))
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
+
+
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(table(spark, sf_dir, "embeddings"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -46,9 +57,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_simhash, op4_embedding_dedup, op6_language_id, op7_substring_dedup, op8_sentencepiece, op9_html_extract, op10_license_scan]
+    named = [op2_simhash, op3_source_mix, op4_embedding_dedup, op5_token_counts, op6_language_id, op7_substring_dedup, op8_sentencepiece, op9_html_extract, op10_license_scan]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_source_mix": source_mix.oracle_sql()}
