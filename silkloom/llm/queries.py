@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkloom.llm import embedding_dedup, html_extract, language_id, license_scan, sentencepiece_codec, simhash, source_mix, substring_dedup, token_counts
+from silkloom.llm import embedding_dedup, html_extract, image_copies, language_id, license_scan, sentencepiece_codec, simhash, source_mix, substring_dedup, token_counts
 
 PIECES = "piece_bpe_32k.model"
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return image_copies.image_groups(image_copies.gallery(table(spark, sf_dir, "embeddings")))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.simhash_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -57,7 +61,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op2_simhash, op3_source_mix, op4_embedding_dedup, op5_token_counts, op6_language_id, op7_substring_dedup, op8_sentencepiece, op9_html_extract, op10_license_scan]
+    named = [op1_image_copies, op2_simhash, op3_source_mix, op4_embedding_dedup, op5_token_counts, op6_language_id, op7_substring_dedup, op8_sentencepiece, op9_html_extract, op10_license_scan]
     return {f.__name__: f for f in named}
 
 
