@@ -167,25 +167,83 @@ def _buckets(batches) -> Iterator[tuple[list[tuple], list[tuple]]]:
         yield direct, sent
 
 
-def _told(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["id", "found"])
-
-
-def _shared_anchors(batches):
-    for direct, sent in _buckets(batches):
-        rows = [(r[0], r[1]) for r in direct]
-        if sent:
-            hashes = np.concatenate([np.frombuffer(r[1], np.uint64) for r in sent])
-            sizes = [len(r[1]) // 8 for r in sent]
-            own = np.concatenate([_unpacked(r[2], n) for r, n in zip(sent, sizes)])
-            told = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=n) for r, n in zip(sent, sizes)]).astype(bool)
-            order = np.argsort(hashes)
-            h = hashes[order]
-            same = h[1:] == h[:-1]
-            hit = order[np.append(same, False) | np.insert(same, 0, False)]
-            hit = hit[~told[hit]]
-            rows += _by_doc(own[hit], hashes[hit])
-        yield _told(rows)
+class _Replies:
+    """Values for documents, packed by group of documents: a few rows a task, however many documents are told."""
+
+    SCHEMA = "team int, ids binary, found binary"
+
+    def __init__(self, teams: int):
+        self.teams, self.ids, self.found, self.n = teams, [], [], 0
+
+    def add(self, ids: np.ndarray, found: np.ndarray) -> None:
+        self.ids.append(ids), self.found.append(found)
+        self.n += len(ids)
+
+    def rows(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        """What has been added, once it is at least so much."""
+        if self.n >= least:
+            ids, found = np.concatenate(self.ids), np.concatenate(self.found)
+            team = ((ids.astype(np.uint64) * _C1) >> np.uint64(32)) % np.uint64(self.teams)
+            order = np.argsort(team, kind="stable")
+            ids, found = ids[order], found[order]
+            cuts = list(_slices(team[order], self.teams))
+            columns = ([k for k, _, _ in cuts], [ids[s:e].tobytes() for _, s, e in cuts], [found[s:e].tobytes() for _, s, e in cuts])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.binary(), pa.binary()))], names=["team", "ids", "found"])
+            self.ids, self.found, self.n = [], [], 0
+
+    def direct(self, rows: list[tuple], kind: type) -> None:
+        for r in rows:
+            got = np.frombuffer(r[1], kind)
+            self.add(np.full(len(got), r[0], np.int64), got)
+
+
+def _delivered(kind: type):
+    """Sorted rows of teams -> (id, found): one row for each document."""
+
+    def run(batches):
+        now, ids, found = None, [], []
+
+        def rows():
+            got = list(_by_doc(np.concatenate(ids), np.concatenate(found)))
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in got], pa.int64()), pa.array([r[1] for r in got], pa.binary())], names=["id", "found"])
+
+        for b in batches:
+            for team, i, f in zip(*(c.to_pylist() for c in b.columns)):
+                if team != now and now is not None:
+                    yield rows()
+                    ids, found = [], []
+                now = team
+                ids.append(np.frombuffer(i, np.int64)), found.append(np.frombuffer(f, kind))
+        if now is not None:
+            yield rows()
+
+    return run
+
+
+#: Values that a task holds before it passes them on.
+_HELD = 1_000_000
+
+
+def _shared_anchors(teams: int):
+    def run(batches):
+        replies = _Replies(teams)
+        for direct, sent in _buckets(batches):
+            replies.direct(direct, np.uint64)
+            if sent:
+                hashes = np.concatenate([np.frombuffer(r[1], np.uint64) for r in sent])
+                sizes = [len(r[1]) // 8 for r in sent]
+                own = np.concatenate([_unpacked(r[2], n) for r, n in zip(sent, sizes)])
+                told = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=n) for r, n in zip(sent, sizes)]).astype(bool)
+                order = np.argsort(hashes)
+                h = hashes[order]
+                same = h[1:] == h[:-1]
+                hit = order[np.append(same, False) | np.insert(same, 0, False)]
+                hit = hit[~told[hit]]
+                replies.add(own[hit], hashes[hit])
+            yield from replies.rows(_HELD)
+        yield from replies.rows()
+
+    return run
 
 
 def _send_windows(n_buckets: int):
@@ -195,7 +253,7 @@ def _send_windows(n_buckets: int):
             at, doc = anchor_places(starts, lengths)
             hashes = _roll(h, at, ANCHOR, _C1)
             # An anchor that is shared anywhere in the block is shared in every document that has it.
-            known = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for r in rest for x in r[0]] or [np.zeros(0, np.uint64)]))
+            known = np.unique(np.concatenate([np.frombuffer(r[0], np.uint64) for r in rest if r[0]] or [np.zeros(0, np.uint64)]))
             if not len(known):
                 continue
             spot = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
@@ -212,10 +270,7 @@ def _send_windows(n_buckets: int):
             h1, h2 = _roll(h, where, WINDOW, _C1), _roll(h, where, WINDOW, _C2)
             order = np.lexsort((begin, own, h2, h1))
             h1, h2, own, begin = h1[order], h2[order], own[order], begin[order]
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (own != own[lead]) | (begin != begin[lead])
+            new, later = _later(h1, h2, own, begin)
             rows = [(i % n_buckets, i, v, None, None) for i, v in _by_doc(own[later], begin[later].astype(np.uint32))]
             h1, h2, own, begin = h1[new], h2[new], own[new], begin[new].astype(np.uint32)
             bucket = (h1 >> np.uint64(32)) % np.uint64(n_buckets)
@@ -228,46 +283,57 @@ def _send_windows(n_buckets: int):
     return run
 
 
-def _later_windows(batches):
-    for direct, sent in _buckets(batches):
-        rows = [(r[0], r[1]) for r in direct]
-        if sent:
-            sizes = [len(r[3]) // 4 for r in sent]
-            both = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(2, -1) for r in sent], axis=1)
-            own = np.concatenate([_unpacked(r[2], n) for r, n in zip(sent, sizes)])
-            begin = np.concatenate([np.frombuffer(r[3], np.uint32) for r in sent])
-            order = np.lexsort((begin, own, both[1], both[0]))
-            h1, h2, own, begin = both[0][order], both[1][order], own[order], begin[order]
-            new = np.ones(len(h1), bool)
-            new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-            lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (own != own[lead]) | (begin != begin[lead])
-            rows += _by_doc(own[later], begin[later])
-        yield _told(rows)
-
-
-def _gathered(df: DataFrame, find, n: int) -> DataFrame:
+def _later_windows(teams: int):
+    def run(batches):
+        replies = _Replies(teams)
+        for direct, sent in _buckets(batches):
+            replies.direct(direct, np.uint32)
+            if sent:
+                sizes = [len(r[3]) // 4 for r in sent]
+                both = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(2, -1) for r in sent], axis=1)
+                own = np.concatenate([_unpacked(r[2], n) for r, n in zip(sent, sizes)])
+                begin = np.concatenate([np.frombuffer(r[3], np.uint32) for r in sent])
+                order = np.lexsort((begin, own, both[1], both[0]))
+                h1, h2, own, begin = both[0][order], both[1][order], own[order], begin[order]
+                later = _later(h1, h2, own, begin)[1]
+                replies.add(own[later], begin[later])
+            yield from replies.rows(_HELD)
+        yield from replies.rows()
+
+    return run
+
+
+def _later(h1: np.ndarray, h2: np.ndarray, own: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows sorted by hash, document and start: which are the first of their hash, and which start later."""
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    lead = np.flatnonzero(new)[np.cumsum(new) - 1]
+    return new, (own != own[lead]) | (begin != begin[lead])
+
+
+def _gathered(df: DataFrame, find, kind: type, n: int) -> DataFrame:
     dealt = df.repartition(n, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(find, "id long, found binary").groupBy("id").agg(F.collect_list("found").alias("found"))
+    told = dealt.mapInArrow(find(4 * n), _Replies.SCHEMA)
+    return told.repartition(n, "team").sortWithinPartitions("team").mapInArrow(_delivered(kind), "id long, found binary")
 
 
 def repeated_starts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, found: the starts of the document's repeated windows, as binaries of uint32; documents with some only.
+    """id, found: the starts of the document's repeated windows, as uint32 bytes; documents with some only.
 
     Null keys are coded as the least long.
     """
     n = partitions(docs.sparkSession)
     chosen = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("__id"), F.col(text).alias("__text"))
-    anchors = materialise(_gathered(chosen.mapInArrow(_send_anchors(4 * n), _SENT_SQL), _shared_anchors, n))
+    anchors = materialise(_gathered(chosen.mapInArrow(_send_anchors(4 * n), _SENT_SQL), _shared_anchors, np.uint64, n))
     again = chosen.join(anchors, chosen["__id"] == anchors["id"]).select("__id", "__text", "found")
-    return materialise(_gathered(again.mapInArrow(_send_windows(4 * n), _SENT_SQL), _later_windows, n))
+    return materialise(_gathered(again.mapInArrow(_send_windows(4 * n), _SENT_SQL), _later_windows, np.uint32, n))
 
 
-def kept_words(words: list[bytes], found: list[bytes] | None) -> list[bytes]:
+def kept_words(words: list[bytes], found: bytes | None) -> list[bytes]:
     """The words that no repeated window covers."""
     if not found:
         return words
-    starts = np.unique(np.concatenate([np.frombuffer(x, np.uint32) for x in found]).astype(np.int64))
+    starts = np.unique(np.frombuffer(found, np.uint32).astype(np.int64))
     starts = starts[starts + WINDOW <= len(words)]
     cover = np.zeros(len(words) + 1, np.int32)
     np.add.at(cover, starts, 1)
