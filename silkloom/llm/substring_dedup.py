@@ -313,7 +313,7 @@ def _later(h1: np.ndarray, h2: np.ndarray, own: np.ndarray, begin: np.ndarray) -
 
 def _gathered(df: DataFrame, find, kind: type, n: int) -> DataFrame:
     dealt = df.repartition(n, "bucket").sortWithinPartitions("bucket")
-    told = dealt.mapInArrow(find(4 * n), _Replies.SCHEMA)
+    told = dealt.mapInArrow(find(n), _Replies.SCHEMA)
     return told.repartition(n, "team").sortWithinPartitions("team").mapInArrow(_delivered(kind), "id long, found binary")
 
 
@@ -324,9 +324,9 @@ def repeated_starts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     n = partitions(docs.sparkSession)
     chosen = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("__id"), F.col(text).alias("__text"))
-    anchors = materialise(_gathered(chosen.mapInArrow(_send_anchors(4 * n), _SENT_SQL), _shared_anchors, np.uint64, n))
+    anchors = materialise(_gathered(chosen.mapInArrow(_send_anchors(2 * n), _SENT_SQL), _shared_anchors, np.uint64, n))
     again = chosen.join(anchors, chosen["__id"] == anchors["id"]).select("__id", "__text", "found")
-    return materialise(_gathered(again.mapInArrow(_send_windows(4 * n), _SENT_SQL), _later_windows, np.uint32, n))
+    return materialise(_gathered(again.mapInArrow(_send_windows(2 * n), _SENT_SQL), _later_windows, np.uint32, n))
 
 
 def kept_words(words: list[bytes], found: bytes | None) -> list[bytes]:
