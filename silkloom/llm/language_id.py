@@ -137,11 +137,10 @@ def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text"
     return train(np.stack([np.frombuffer(x, np.float16) for _, x in rows]), [v for v, _ in rows])
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", lead: float = 0.2) -> DataFrame:
-    """docs with lang_pred, score and ambiguous (the lead over the next language is below `lead`)."""
-    kind = "struct<lang_pred:string,score:double,ambiguous:boolean>"
+def prediction(model: Model, text: Column | str = "text", lead: float = 0.2) -> Column:
+    """Struct (lang_pred, score, ambiguous: the lead over the next language is below `lead`) of a text column."""
 
-    @F.arrow_udf(kind)
+    @F.arrow_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
     def said(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.to_pylist():
@@ -152,7 +151,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text", lead: float = 0.2
                 rows.append({"lang_pred": UNKNOWN, "score": 0.0, "ambiguous": True})
         return pa.array(rows, pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())]))
 
-    return docs.withColumn("__said", said(text)).select(*docs.columns, "__said.*")
+    return said(text)
+
+
+def predict(docs: DataFrame, model: Model, text: str = "text", lead: float = 0.2) -> DataFrame:
+    """docs with lang_pred, score and ambiguous; columns of these names are replaced."""
+    told = docs.withColumn("__said", prediction(model, text, lead)).drop("lang_pred", "score", "ambiguous")
+    return told.select("*", "__said.*").drop("__said")
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -163,5 +168,5 @@ def held_out(key: str = "doc_id") -> Column:
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """key, held_out, lang_pred, score, ambiguous; learned from the documents that are not held out."""
     model = fit(docs, ~F.coalesce(held_out(key), F.lit(True)), key, text, lang)
-    found = predict(docs.select(key, F.col(text).alias("__text"), F.coalesce(held_out(key), F.lit(False)).alias("held_out")), model, "__text")
-    return found.drop("__text")
+    found = docs.select(key, F.coalesce(held_out(key), F.lit(False)).alias("held_out"), prediction(model, text).alias("said"))
+    return found.select(key, "held_out", "said.*")

@@ -35,8 +35,8 @@ PASSAGES = {
     "mpl": "this source code form is subject to the terms of the //mozilla public license//",
     "isc": "//permission to use copy modify and or distribute this software// for any purpose with or without fee is hereby granted",
     "cc": "this work is licensed under a //creative commons// attribution",
-    "cc-by": "licensed under //cc by// 4 0",
-    "cc-by-nc": "licensed under //cc by nc// 4 0",
+    "cc-by": "licensed under //cc by 4 0//",
+    "cc-by-nc": "licensed under //cc by nc 4 0//",
     "unlicense": "this is free and unencumbered software //released into the public domain//",
 }
 

@@ -342,9 +342,10 @@ def kept_words(words: list[bytes], found: bytes | None) -> list[bytes]:
     return [w for w, k in zip(words, keep.tolist()) if k]
 
 
-def _with_found(docs: DataFrame, key: str, text: str, starts: DataFrame | None = None) -> DataFrame:
-    starts = repeated_starts(docs, key, text) if starts is None else starts
-    return docs.join(starts, F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)) == starts["id"], "left").drop("id")
+def _with_found(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """docs with __starts, whatever their columns are called."""
+    starts = repeated_starts(docs, key, text).select(F.col("id").alias("__rid"), F.col("found").alias("__starts"))
+    return docs.join(starts, F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)) == F.col("__rid"), "left").drop("__rid")
 
 
 def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -363,7 +364,7 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
     chosen = docs.select(key, text)
     kind = chosen.schema[key].dataType.simpleString()
-    return _with_found(chosen, key, text).select(key, text, "found").mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string")
+    return _with_found(chosen, key, text).select(key, text, "__starts").mapInArrow(run, f"`{key}` {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -376,6 +377,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             out.append(b" ".join(kept_words(t.encode().split(), x)).decode() if t and x else t)
         return pa.array(out, pa.string())
 
-    joined = _with_found(docs.withColumnRenamed("found", "__found") if "found" in docs.columns else docs, key, text)
-    out = joined.withColumn(text, F.when(F.col("found").isNull(), F.col(text)).otherwise(cut(text, "found"))).drop("found")
-    return out.select(*(F.col("__found").alias("found") if c == "found" else c for c in docs.columns))
+    joined = _with_found(docs, key, text)
+    return joined.withColumn(text, F.when(F.col("__starts").isNull(), F.col(text)).otherwise(cut(text, "__starts"))).select(docs.columns)
