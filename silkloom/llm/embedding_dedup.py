@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkloom.llm.common import connected_components, materialise
+from silkloom.llm.common import connected_components, materialise, sliced
 
 THRESHOLD, PROBES, LIST, MAX_LISTS, CHUNK, SAMPLE, PARTS, CODES = 0.93, 8, 800, 4096, 2048, 16384, 8, 64
 
@@ -47,7 +47,7 @@ def directions(vectors: DataFrame, key: str, vector: str, label: str) -> DataFra
     """key, label, digest, v (float64 bytes at unit length); digest and v are null where nothing may link."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             digests, found = [], []
             for values, group in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 x = unit(values) if group is not None else None

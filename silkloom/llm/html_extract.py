@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from silkloom.llm.common import sliced
+
 #: Tags, by how they are treated.
 BLOCK_TAGS = frozenset("address blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul article aside".split())
 CONTAINERS = frozenset("article aside blockquote center details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
@@ -215,7 +217,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), source
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__html") + ", text string, n_chars long"
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             texts = [main_text(p, tree) for p in b.column("__html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*keep, "text", "n_chars"])
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silkloom.llm.common import sliced
+
 FEATURES = 8192
 PER_LANGUAGE = 700
 ORDERS = (1, 2, 3, 4)
@@ -124,7 +126,7 @@ def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text"
         share = F.when(F.col(lang) == r[lang], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [features(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
@@ -143,7 +145,7 @@ def prediction(model: Model, text: Column | str = "text", lead: float = 0.2) ->
     @F.arrow_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
     def said(texts: pa.Array) -> pa.Array:
         rows = []
-        for t in texts.to_pylist():
+        for t in (t for start in range(0, len(texts), 512) for t in texts.slice(start, 512).to_pylist()):
             if has_letter(t) and model.languages:
                 best, score, ahead = model.decode(features(t))
                 rows.append({"lang_pred": model.languages[best], "score": score, "ambiguous": ahead < lead})

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from silkloom.llm.common import sliced
+
 #: Base phrases and their labels.
 BASE_PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
@@ -75,7 +77,7 @@ def document_frequencies(docs: DataFrame, vocabulary: set[bytes], text: str = "t
 
     def run(batches):
         seen, n = Counter(), 0
-        for b in batches:
+        for b in sliced(batches):
             for t in b.column(0).to_pylist():
                 n += 1
                 seen.update(vocab.intersection(words_of(t)))
@@ -138,7 +140,7 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: st
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "hits"]
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for t in b.column("__text").to_pylist():
                 words = words_of(t)

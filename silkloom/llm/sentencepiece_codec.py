@@ -20,7 +20,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-TABLE_ROWS = 300_000
+from silkloom.llm.common import sliced
+
+TABLE_ROWS = 200_000
 MARK = "▁"
 #: A marked word: newlines one by one with the text that follows, or markers with the text that follows.
 CHUNK = re.compile("\n[^ ▁\n]*|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")
@@ -92,7 +94,7 @@ def encode_decode(docs: DataFrame, model: str, text: str = "text", keep: tuple[s
 
     def run(batches):
         table = ChunkTable(model)
-        for b in batches:
+        for b in sliced(batches):
             got = list(table.code(b.column("__text").to_pylist()))
             out = [b.column(c) for c in keep]
             out.append(pa.array([len(i) // 4 for i, _ in got], pa.int64()))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkloom.llm.common import connected_components, materialise
+from silkloom.llm.common import connected_components, materialise, sliced
 
 BITS = 64
 LEAF = 2048
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", k: in
     """key, fp: the fingerprint as a signed long."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             fp = np.array([fingerprint(t, k) for t in b.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=[key, "fp"])
 

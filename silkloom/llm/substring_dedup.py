@@ -34,12 +34,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkloom.llm.common import materialise, partitions
+from silkloom.llm.common import materialise, partitions, sliced
 
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Words that are handled as one block.
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 _NULL_ID = -(1 << 63)
 _SPREAD = np.zeros(PERIOD, bool)
 _SPREAD[list(COVER)] = True
@@ -69,12 +69,12 @@ def anchor_places(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray,
 
 
 def _blocks(batches, *columns: str) -> Iterator[tuple]:
-    """(ids, lists of words, other columns) of at most about BLOCK_WORDS words."""
+    """(ids, word hashes by document, other columns) of about BLOCK_WORDS words."""
     ids, words, rest, n = [], [], [], 0
-    for b in batches:
+    for b in sliced(batches):
         cols = [b.column(c).to_pylist() for c in columns]
         for k, (i, t) in enumerate(zip(b.column("__id").to_pylist(), b.column("__text").to_pylist(), strict=True)):
-            own = t.encode().split() if t else []
+            own = word_hashes(t.encode().split() if t else [])
             ids.append(i), words.append(own), rest.append([c[k] for c in cols])
             n += len(own)
             if n >= BLOCK_WORDS:
@@ -84,11 +84,11 @@ def _blocks(batches, *columns: str) -> Iterator[tuple]:
         yield ids, words, rest
 
 
-def _laid_out(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _laid_out(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes of all documents in a row, their starts and their lengths."""
     lengths = np.array([len(w) for w in words], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    return np.concatenate([word_hashes(w) for w in words]) if len(words) else np.zeros(0, np.uint64), starts, lengths
+    return np.concatenate(words), starts, lengths
 
 
 def _by_doc(ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -352,7 +352,7 @@ def dedup_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     """key, n_words, n_removed, kept_sha256 (of the kept words joined by one space)."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = []
             for t, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 words = t.encode().split() if t else []
@@ -373,7 +373,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     @F.arrow_udf("string")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
         out = []
-        for t, x in zip(texts.to_pylist(), found.to_pylist(), strict=True):
+        for t, x in ((t, x) for s in range(0, len(texts), 512) for t, x in zip(texts.slice(s, 512).to_pylist(), found.slice(s, 512).to_pylist(), strict=True)):
             out.append(b" ".join(kept_words(t.encode().split(), x)).decode() if t and x else t)
         return pa.array(out, pa.string())
 

@@ -21,6 +21,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from silkloom.llm.common import sliced
+
 MARK, TABLE_ROWS, BYTE_SCORE = "▁", 400_000, -12.0
 
 
@@ -91,7 +93,7 @@ def count_tokens(docs: DataFrame, model: str, text: str = "text", keep: tuple[st
 
     def run(batches):
         trie = Trie(scores)
-        for b in batches:
+        for b in sliced(batches, 2048):
             got = trie.totals(b.column("__text").to_pylist())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), *(pa.array([x[k] for x in got], pa.int64()) for k in (0, 1))], names=[*keep, "n_words", "n_tokens"])
 
