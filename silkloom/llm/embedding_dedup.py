@@ -15,7 +15,8 @@ is counted from each; one seen from one side only is reported for both. The numb
 number of vectors (LIST vectors a list, at most MAX_LISTS); centroids and codebooks are fitted on the driver on a
 sample bounded by SAMPLE vectors.
 
-Vectors of different length only link within their length. Repeated ids count as separate vectors. An empty table gives an empty result.
+Vectors of different length only link within their length. Repeated ids count as separate vectors, and a vector
+of a null id links with nothing and is kept. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ def directions(vectors: DataFrame, key: str, vector: str, label: str) -> DataFra
     def run(batches):
         for b in sliced(batches):
             digests, found = [], []
-            for values, group in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                x = unit(values) if group is not None else None
+            for who, values, group in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                x = unit(values) if who is not None and group is not None else None
                 data = None if x is None else (x + 0.0).tobytes()
                 found.append(data)
                 digests.append(None if x is None else hashlib.blake2b(data, digest_size=16, key=str(group).encode()[:64]).digest())
@@ -215,4 +216,4 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     classes = classes.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "key").cast(sql).alias("component_id"))
     rows = named.select("key", "label", "digest").join(classes, ["label", "digest"], "left")
     component = F.coalesce("component_id", "key")
-    return rows.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("key") == component).alias("kept"))
+    return rows.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))

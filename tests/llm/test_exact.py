@@ -214,9 +214,14 @@ def test_embeddings(spark):
         rows.append((i, [float(x) for x in v], i % 3 if i % 50 else None, "x"))
     rows += [(1000, None, 1, "x"), (1001, [0.0] * 16, 1, "x"), (1002, [float("nan")] * 16, 1, "x"), (1003, [1.0] * 15 + [None], 1, "x"), (1004, [1e300] * 16, 1, "x"), (1005, [], 1, "x"), (1006, [1.0, 0.0], 1, "x"), (1007, [2.0, 0.1], 1, "x")]
     rows += [(2000 + i, rows[1][1], rows[1][2], "x") for i in range(5)] + [rows[1]]
+    nobody = spark.createDataFrame([(None, rows[1][1], rows[1][2], "x")] * 2, "vec_id long, embedding array<double>, label int, links string")
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, links string")
     got = defaultdict(set)
-    for r in embedding_dedup.embedding_groups(df).collect():
+    assert embedding_dedup.embedding_groups(df.limit(0)).count() == 0
+    for r in embedding_dedup.embedding_groups(df.union(nobody)).collect():
+        if r.vec_id is None:
+            assert (r.n_links, r.component_id, r.kept) == (0, None, True)
+            continue
         got[r.vec_id].add((r.n_links, r.component_id, r.kept))
     ok = [(k, v / np.linalg.norm(v), g) for k, x, g, _ in rows if g is not None and x and None not in x and np.isfinite(v := np.array(x) / max(np.abs(x).max(), 1e-300)).all() and v.any()]
     links, edges = Counter(), []

@@ -106,11 +106,12 @@ def test_images(spark):
         for edit in (0, 1, 2, 3, 5, 7):
             rows.append((len(rows), image_copies.pgm(image_copies.variant(number, edit)), "x"))
             truth[len(rows) - 1] = number
-    rows += [(100, None, "x"), (101, b"", "x"), (102, b"broken", "x"), (103, b"broken", "x"), (104, image_copies.pgm(np.full((64, 64), 7, np.uint8)), "x"), (105, image_copies.pgm(np.zeros((3, 3), np.uint8)), "x"), (106, png(image_copies.picture(3)), "x"), rows[0], (107, None, "x")]
+    rows += [(100, None, "x"), (101, b"", "x"), (102, b"broken", "x"), (103, b"broken", "x"), (104, image_copies.pgm(np.full((64, 64), 7, np.uint8)), "x"), (105, image_copies.pgm(np.zeros((3, 3), np.uint8)), "x"), (106, png(image_copies.picture(3)), "x"), rows[0], (107, None, "x"), (None, rows[0][1], "x")]
     truth[106] = 3
     df = spark.createDataFrame(rows, "image_id long, data binary, digest string").repartition(3)
     found = image_copies.image_groups(df).collect()
     got = {r.image_id: r for r in found}
+    assert got[None].n_links == 0 and got[None].kept and got[None].component_id is None
     assert len(found) == len(rows)
     # The links found through the tables are those of a comparison of every pair.
     described = {i: d for i, d in zip(truth, image_copies.describe([image_copies.decode(next(x for k, x, _ in rows if k == i)) for i in truth]))}
