@@ -61,10 +61,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("hits")
 
 
+#: Every pair of vectors compared, and components by spreading the smallest id along links until nothing changes.
+LINKED = """
+with recursive v as (
+  select vec_id, label, embedding::double[] as e from embeddings
+  where label is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(embedding::double[], embedding::double[]) > 0),
+l as (select a.vec_id as i, b.vec_id as j from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.93),
+c as (select vec_id, vec_id as part from embeddings union select l.j, c.part from c join l on c.vec_id = l.i),
+p as (select vec_id, min(part) as component_id from c group by vec_id)
+select vec_id, (select count(*) from l where i = vec_id)::bigint as n_links, component_id, vec_id = component_id as kept from p"""
+
+#: Every window listed and ranked by its place.
+REPEATED = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+k as (select doc_id, s, array_to_string(w[s:s + 19], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 18)) as s from w where len(w) >= 20)),
+r as (select doc_id, s, row_number() over (partition by k order by doc_id, s) as n from k),
+gone as (select distinct doc_id, unnest(range(s, s + 20)) as pos from r where n > 1),
+words as (select doc_id, unnest(w) as word, generate_subscripts(w, 1) as pos from w),
+kept as (select words.doc_id, count(gone.pos) as n_removed, string_agg(word, ' ' order by words.pos) filter (gone.pos is null) as kept from words left join gone on words.doc_id = gone.doc_id and words.pos = gone.pos group by words.doc_id)
+select w.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from w left join kept on w.doc_id = kept.doc_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [op1_image_copies, op2_simhash, op3_source_mix, op4_embedding_dedup, op5_token_counts, op6_language_id, op7_substring_dedup, op8_sentencepiece, op9_html_extract, op10_license_scan]
     return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": source_mix.oracle_sql()}
+    return {"op3_source_mix": source_mix.oracle_sql(), "op4_embedding_dedup": LINKED, "op7_substring_dedup": REPEATED}

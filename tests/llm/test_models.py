@@ -172,14 +172,17 @@ def test_registry():
     assert queries.oracle_sql().keys() <= set(names)
 
 
-def test_mix_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{DATA}/documents.parquet'")
-    got = queries.op3_source_mix(spark, DATA)
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got = queries.queries()[name](spark, DATA)
     order = sorted(got.columns)
-    want = con.sql(queries.oracle_sql()["op3_source_mix"])
+    want = con.sql(queries.oracle_sql()[name])
+    assert sorted(want.columns) == order
     theirs = con.sql("select " + ", ".join(order) + " from want").fetchall()
     assert sorted(repr(tuple(r[c] for c in order)) for r in got.collect()) == sorted(map(repr, theirs))
 
