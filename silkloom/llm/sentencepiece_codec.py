@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 from silkloom.llm.common import sliced
 
-TABLE_ROWS = 200_000
+TABLE_ROWS = 100_000
 MARK = "▁"
 #: A marked word: newlines one by one with the text that follows, or markers with the text that follows.
 CHUNK = re.compile("\n[^ ▁\n]*|[ ▁]+[^ ▁\n]*|[^ ▁\n]+")

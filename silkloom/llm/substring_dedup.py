@@ -39,7 +39,7 @@ from silkloom.llm.common import materialise, partitions, sliced
 WINDOW, PERIOD, COVER = 20, 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 #: Words that are handled as one block.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 400_000
 _NULL_ID = -(1 << 63)
 _SPREAD = np.zeros(PERIOD, bool)
 _SPREAD[list(COVER)] = True
@@ -221,7 +221,7 @@ def _delivered(kind: type):
 
 
 #: Values that a task holds before it passes them on.
-_HELD = 1_000_000
+_HELD = 250_000
 
 
 def _shared_anchors(teams: int):
