@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from silkloom.functions import responses, thai
 from silkloom.functions import text as txt
 from silkloom.operators import augment, graph, metrics, similarity, validate
+from silkloom.plans import documents
 from silkloom.sources import files, remote
 from silkloom.sources.sinks import with_quality
 
@@ -220,6 +221,15 @@ def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", txt.word_count("text").alias("words"))
 
 
+@query(f"""
+with c as (select doc_id, trim({_TIGHT}) as t, text from documents), s as (select doc_id, unnest(string_split_regex(regexp_replace(t, '([.!?]){txt.WS}+', '\\1' || chr(1), 'g'), chr(1))) as s from c),
+n as (select doc_id, count(*) as n from s where length(s) between 10 and 1000 group by doc_id)
+select doc_id, t as clean_text, len(regexp_extract_all(t, '[{txt.WORD_CHARS}]+|[^{txt.WORD_CHARS}{txt.WS_CHARS}]'))::bigint as word_count, coalesce(n, 0)::bigint as sentence_count from c left join n using (doc_id)""")
+def process_text(spark, sf_dir):
+    done = documents.process_text(table(spark, sf_dir, "documents").select("doc_id", "text"), thai_text=True)
+    return done.select("doc_id", "clean_text", "stats.word_count", "stats.sentence_count")
+
+
 @query(f"select distinct unnest(({words_sql('text')})[1:3]) as concept from documents")
 def key_concepts(spark, sf_dir):
     return graph.key_concepts(table(spark, sf_dir, "documents"))

@@ -168,3 +168,17 @@ def test_streams(spark, tmp_path):
     q = once.writeStream.format("memory").queryName("o").start()
     q.processAllAvailable(), q.stop()
     assert spark.sql("select * from o").count() == 2
+
+
+def test_process_text(spark):
+    from silkloom.plans import documents
+
+    df = spark.createDataFrame([(1, "Abstract\nWe, do this. " + "Then more words follow here. " * 60 + "\nIntroduction\nค่า")], "doc_id int, text string")
+    out = documents.process_text(df, thai_text=True)
+    row = out.first()
+    assert row.stats.chunk_count == len(row.chunks) == 2 and row.stats.sentence_count == len(row.sentences) == 62
+    assert row.sections.abstract.startswith("We, do") and row.thai_metrics.tonal.tone_1 == 1 and row.stats.cleaning_stats.special_chars_removed == 2
+    scored = documents.validate_sentences(out, client)
+    assert scored.count() == 62 and scored.where("needs_revision").count() == 0
+    both = documents.analyze(df.union(df.withColumn("doc_id", F.lit(2)))).first()
+    assert both.near_duplicate_pairs == 1 and both.redundancy_rate == 1.0 and both.total_words > 300
