@@ -2,7 +2,7 @@
 
 A page is cut into blocks at block-level tags. Each block has its word count and link density, those of its two
 neighbours, and marks from the tags around it (article, boilerplate container, telling class or id, heading).
-A decision tree, grown on the labelled pages in LABELLED, says which blocks are main text. Nothing is looked up
+A decision tree, grown on small labelled pages, says which blocks are main text. Nothing is looked up
 but the page itself; the tree is grown once on the driver and sent with the task.
 
 Null and empty pages give an empty text. Pages may be cut off anywhere: open elements count as closed at the end,
@@ -36,6 +36,10 @@ HINTS = frozenset(
     "toolbar copyright legal disclaimer complementary contentinfo tags byline trending popular outbrain taboola".split()
 )
 
+#: A part's own header is no page header.
+OWN_PARTS = frozenset("post entry article story".split())
+_RIGHTS = re.compile(r"^(?:©|\(c\)|copyright\b)|all rights reserved", re.I)
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:=\s*\"[^\"]*\"|=\s*'[^']*'|=(?!\s*[\"'])|[^>=])*+)(?:>|\Z)|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)(?:>|\Z)",
     re.S,
@@ -50,7 +54,10 @@ def _hinted(rest: str) -> bool:
     if not rest:
         return False
     for value in _NAMED.findall(rest):
-        if not HINTS.isdisjoint(p.lower() for p in _PART.findall(value)):
+        listed = [p.lower() for p in _PART.findall(value)]
+        parts = {*listed, *map("".join, zip(listed, listed[1:]))}
+        found = parts & HINTS
+        if found and not (found == {"header"} and parts & OWN_PARTS):
             return True
     return _HIDDEN.search(rest) is not None
 
@@ -68,6 +75,7 @@ class Block:
     text: str = ""
     words: int = 0
     density: float = 0.0
+    rights: bool = False
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -86,6 +94,7 @@ def blocks(page: str | None) -> list[Block]:
             if words:
                 linked = len(html.unescape(" ".join(now.linked)).split())
                 now.text, now.words, now.density = " ".join(words), len(words), min(1.0, linked / len(words))
+                now.rights = _RIGHTS.search(now.text) is not None
                 found.append(now)
         _, article, boiler, hint = stack[-1]
         now = Block(article=article, boiler=boiler, hint=hint)
@@ -137,22 +146,22 @@ def blocks(page: str | None) -> list[Block]:
     return found
 
 
-FEATURES = ("words", "density", "words before", "density before", "words after", "density after", "article", "boilerplate", "hint", "heading", "listed")
+FEATURES = ("boilerplate", "hint", "rights", "article", "heading", "listed", "density", "words", "density before", "words before", "density after", "words after")
 
 
 def features(found: list[Block]) -> np.ndarray:
     """A row of FEATURES for each block; a missing neighbour has no words and no links."""
-    own = np.array([(b.words, b.density) for b in found], float).reshape(-1, 2)
+    own = np.array([(b.density, b.words) for b in found], float).reshape(-1, 2)
     none = np.zeros((1, 2))
-    marks = np.array([(b.article, b.boiler, b.hint, b.heading, b.listed) for b in found], float).reshape(-1, 5)
-    return np.hstack([own, np.vstack([none, own])[:-1], np.vstack([own, none])[1:], marks])
+    marks = np.array([(b.boiler, b.hint, b.rights, b.article, b.heading, b.listed) for b in found], float).reshape(-1, 6)
+    return np.hstack([marks, own, np.vstack([none, own])[:-1], np.vstack([own, none])[1:]])
 
 
 #: Node of a tree: (feature, threshold, at most, above), or the answer.
 Tree = tuple | bool
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 2) -> Tree:
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 3) -> Tree:
     """A classification tree by Gini impurity; ties go to the earlier feature and lower threshold."""
     if depth == 0 or len(y) < 2 * least or y.min() == y.max():
         return bool(y.mean() >= 0.5)
@@ -180,25 +189,40 @@ def decide(tree: Tree, row: list[float]) -> bool:
     return tree
 
 
-_LONG = "the river rose again in spring and the people of the valley moved their herds to higher ground before the rain came down from the hills as it had done for many years"
-_MID = "the report names three causes for the long delay"
-#: Small labelled pages, written for this purpose: data-main=1 marks main text and 0 everything else.
-LABELLED = (
-    f"<body><nav><ul><li data-main=0><a>Home</a><li data-main=0><a>News</a><li data-main=0><a>About us</a></ul></nav><div class=ad data-main=0>{_MID} buy now</div><article><h1 data-main=1>Short title</h1><p data-main=1>{_LONG}</p><p data-main=1>Yes.</p><p data-main=1>{_LONG} {_LONG}</p></article><footer data-main=0>copyright 2020 {_MID}</footer>",
-    f"<body><header><div data-main=0>{_MID}</div></header><div><h1 data-main=1>The title of the page</h1><p data-main=1>{_LONG}</p><p data-main=1>{_LONG}</p></div><aside><p data-main=0>{_LONG}</p></aside><form data-main=0>enter your mail address here</form><footer data-main=0>terms of use</footer>",
-    f"<body><div data-main=0><a>one</a> <a>two</a> <a>three</a></div><p data-main=1>{_LONG} {_LONG}</p><p data-main=1>{_LONG}</p><div data-main=0><a>{_MID}</a> <a>more</a></div><div data-main=0><a>older posts</a></div>",
-    f"<body><main><h2 data-main=1>A heading</h2><p data-main=1>{_MID}</p><ul><li data-main=1>first point of it</li><li data-main=1>second point of it</li></ul><section class=comments><p data-main=0>I think {_LONG}</p><p data-main=0>me too</p></section></main><div class='cookie-notice' data-main=0>we use cookies {_MID}</div>",
-    f"<body><article><p data-main=1>Tiny.</p></article><footer data-main=0>{_LONG} all rights reserved</footer>",
-    f"<body><article><h1 data-main=1>{_MID}</h1><p data-main=1>see <a>{_MID}</a></p><p data-main=1>{_LONG}</p><div class=related><p data-main=0>{_LONG}</p><p data-main=0><a>{_MID}</a></p></div></article><aside><div data-main=0><a>{_MID}</a></div><div data-main=0>{_LONG}</div></aside>",
-    f"<body><div class=sidebar><p data-main=0>{_LONG}</p><p data-main=0>{_MID}</p></div><div><p data-main=1>{_LONG}</p><p data-main=1>{_LONG}</p><p data-main=1>{_LONG}</p></div><div data-main=0>page 1</div>",
-    f"<body><header><p data-main=0>{_LONG}</p></header><article><header><h1 data-main=1>Ok</h1></header><p data-main=1>{_MID}</p></article><nav data-main=0>{_LONG}</nav><form><p data-main=0>{_LONG}</p></form>",
-    f"<body><article><h1 data-main=1>One two</h1><p data-main=1>A b.</p><p data-main=1>C.</p><ul><li data-main=1><a>a source</a></li></ul></article><div class=banner><p data-main=0>{_LONG}</p></div><footer><p data-main=0>{_LONG}</p><p data-main=0>x</p></footer>",
-)
+def labelled_pages(n: int = 400, seed: int = 3) -> list[str]:
+    """Small pages put together at random from labelled parts: data-main=1 marks main text and 0 everything else.
+
+    Lengths are drawn alike for both, so that what tells them apart is where a block stands and what it links to.
+    """
+    rng = np.random.default_rng(seed)
+    pick = lambda parts: parts[rng.integers(len(parts))]
+    words = lambda: " ".join(["word"] * pick((1, 2, 3, 5, 9, 15, 25, 40, 80)))
+    p = lambda main: f"<p data-main={main}>{words()}</p>"
+    linked = lambda main: f"<li data-main={main}><a>{words()}</a>"
+    other = (
+        lambda: f"<nav><ul>{linked(0)}{linked(0)}</ul>{p(0)}</nav>", lambda: f"<ul>{linked(0)}{linked(0)}{linked(0)}</ul>", lambda: f"<header><h1 data-main=0>{words()}</h1>{p(0)}</header>",
+        lambda: f"<div class={pick(('ad', 'cookie-notice', 'sidebar', 'share', 'comments'))}>{p(0)}{p(0)}</div>", lambda: f"<footer>{p(0)}<p data-main=0>© {words()}</p></footer>",
+        lambda: f"<aside>{p(0)}{linked(0)}</aside>", lambda: f"<form data-main=0>{words()}</form>", lambda: f"<div data-main=0><a>{words()}</a> <a>{words()}</a></div>",
+    )
+    inside = (*other[3:4], *other[5:7], other[0])
+    pages = []
+    for _ in range(n):
+        tag = pick(("article", "main", "div", ""))
+        sure = tag in ("article", "main")
+        body = [f"<h1 data-main=1>{words()}</h1>"] * int(rng.integers(2))
+        for _ in range(rng.integers(1, 5)):
+            body.append(pick((lambda: p(1), lambda: p(1), lambda: p(1), lambda: f"<ul><li data-main=1>{words()}<li data-main=1>{words()}</ul>", lambda: f"<p data-main=1>{words()} <a>{words()}</a> {words()}</p>"))())
+            if sure:
+                body.append(pick((lambda: "", lambda: f"<p data-main=1><a>{words()}</a></p>", lambda: f"<ul>{linked(1)}</ul>", lambda: f"<p data-main=1>{words()} All rights reserved.</p>", *inside))())
+        before, after = ("".join(pick(other)() for _ in range(rng.integers(0, 3))) for _ in range(2))
+        after += "" if rng.integers(3) else pick((f"<p data-main=0>© {words()}</p>", f"<p data-main=0>{words()} All rights reserved.</p>"))
+        pages.append(f"<body>{before}" + (f"<{tag}>{''.join(body)}</{tag}>" if tag else "".join(body)) + after)
+    return pages
 
 
 def train() -> Tree:
     rows, labels = [], []
-    for page in LABELLED:
+    for page in labelled_pages():
         found = blocks(page)
         rows.append(features(found))
         labels += [b.label for b in found]
