@@ -11,9 +11,10 @@ are decided by exact cosine. So only the choice of lists can lose a pair: README
 
 Lists are dealt by label in chunks of about CHUNK vectors on either side, so a list of any length is compared in
 bounded tasks; a chunk reports link counts and a spanning forest, never its pairs. A pair seen from both sides
-is counted from each; one seen from one side only is reported for both. The number of centroids follows the
-number of vectors (LIST vectors a list, at most MAX_LISTS); centroids and codebooks are fitted on the driver on a
-sample bounded by SAMPLE vectors.
+is counted from each; one seen from one side only is reported for both. The number of lists follows the number of
+vectors (LIST vectors a list). Up to COARSE lists each has a centroid of its own; beyond, a second codebook of the
+residuals splits every coarse list, up to COARSE * SPLITS lists in all, and probing takes the nearest sums. Centroids
+and codebooks are fitted on the driver on a sample bounded by SAMPLE vectors.
 
 Vectors of different length only link within their length. Repeated ids count as separate vectors, and a vector
 of a null id links with nothing and is kept. An empty table gives an empty result.
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from silkloom.llm.common import connected_components, materialise, sliced
 
-THRESHOLD, PROBES, LIST, MAX_LISTS, CHUNK, SAMPLE, PARTS, CODES = 0.93, 8, 800, 4096, 2048, 16384, 8, 64
+THRESHOLD, PROBES, LIST, COARSE, SPLITS, CHUNK, SAMPLE, PARTS, CODES = 0.93, 8, 800, 2048, 1024, 2048, 16384, 8, 64
 
 
 def unit(values: list | None) -> np.ndarray | None:
@@ -74,24 +75,45 @@ def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 1) -> np.ndarray
     return c
 
 
-class Quantiser:
-    """Coarse centroids, and codebooks of the residual in PARTS subspaces."""
+def _least(d: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the n least values of each row, in order."""
+    n = min(n, d.shape[1])
+    part = np.argpartition(d, n - 1, axis=1)[:, :n]
+    return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1), 1)
+
 
-    def __init__(self, x: np.ndarray, lists: int):
-        self.centroids = k_means(x, lists)
-        rest = x - self.centroids[self.near(x, 1)[:, 0]]
+class Quantiser:
+    """Lists, as sums of a coarse centroid and a split of its residuals, and codebooks of what is left in PARTS subspaces."""
+
+    def __init__(self, x: np.ndarray, lists: int, coarse: int = COARSE):
+        self.coarse, self.splits = k_means(x, min(lists, coarse)), np.zeros((1, x.shape[1]))
+        if lists > coarse:
+            first = self.near(x, 1)[:, 0]
+            self.splits = k_means(x - self.coarse[first], min(SPLITS, -(-lists // coarse)))
+        rest = x - self.centroids(self.near(x, 1)[:, 0])
         self.cuts = np.linspace(0, x.shape[1], min(PARTS, x.shape[1]) + 1).astype(int)
         self.books = [k_means(rest[:, s:e], CODES) for s, e in zip(self.cuts, self.cuts[1:])]
 
+    def centroids(self, lists: np.ndarray) -> np.ndarray:
+        return self.coarse[lists // len(self.splits)] + self.splits[lists % len(self.splits)]
+
     def near(self, x: np.ndarray, n: int) -> np.ndarray:
-        d = (self.centroids**2).sum(1) - 2 * x @ self.centroids.T
-        n = min(n, d.shape[1])
-        part = np.argpartition(d, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(part, np.argsort(np.take_along_axis(d, part, 1), axis=1), 1)
+        """The n lists nearest to each vector, nearest first; splits are looked for in the n nearest coarse lists."""
+        if len(x) > 1024:
+            return np.vstack([self.near(x[s : s + 1024], n) for s in range(0, len(x), 1024)])
+        d = (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
+        best = _least(d, n)
+        if len(self.splits) == 1:
+            return best
+        # |x - c - s|^2 = |x - c|^2 - 2 x.s + 2 c.s + |s|^2
+        cross = 2 * self.coarse @ self.splits.T + (self.splits**2).sum(1)
+        both = np.take_along_axis(d, best, 1)[:, :, None] + cross[best] - 2 * (x @ self.splits.T)[:, None, :]
+        at = _least(both.reshape(len(x), -1), n)
+        return np.take_along_axis(best, at // len(self.splits), 1) * len(self.splits) + at % len(self.splits)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Residual codes, and the length of what they leave out."""
-        rest = x - self.centroids[lists]
+        rest = x - self.centroids(lists)
         codes = np.empty((len(x), len(self.books)), np.uint8)
         for m, (book, s, e) in enumerate(zip(self.books, self.cuts, self.cuts[1:])):
             codes[:, m] = np.argmin((book**2).sum(1) - 2 * rest[:, s:e] @ book.T, axis=1)
@@ -100,7 +122,7 @@ class Quantiser:
 
     def estimate(self, q: np.ndarray, which: int, codes: np.ndarray) -> np.ndarray:
         """Estimated dot products of queries with the stored vectors of one list, by table lookup."""
-        got = np.repeat((q @ self.centroids[which])[:, None], len(codes), axis=1)
+        got = np.repeat((q @ self.centroids(np.array([which]))[0])[:, None], len(codes), axis=1)
         for m, (book, s, e) in enumerate(zip(self.books, self.cuts, self.cuts[1:])):
             got += (q[:, s:e] @ book.T)[:, codes[:, m]]
         return got
@@ -188,7 +210,7 @@ def _compared(quantisers: dict[int, Quantiser], threshold: float, kind: pa.DataT
     return run
 
 
-def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
+def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = THRESHOLD, probes: int = PROBES, per_list: int = LIST, coarse: int = COARSE) -> DataFrame:
     """key, n_links, component_id (smallest key reachable), kept (key = component_id): one row for each vector."""
     named = materialise(directions(vectors, key, vector, label))
     good = named.where("digest is not null").groupBy("label", "digest")
@@ -200,7 +222,7 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     for dim, count in sizes.items():
         sample = distinct.where(F.col("dim") == dim).orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("v").collect()
         x = np.frombuffer(b"".join(bytes(r["v"]) for r in sample), np.float64).reshape(-1, dim)
-        quantisers[dim] = Quantiser(x, min(MAX_LISTS, -(-count // LIST)))
+        quantisers[dim] = Quantiser(x, min(coarse * SPLITS, -(-count // per_list)), coarse)
     dealt = materialise(distinct.mapInArrow(_dealt(quantisers, kind, probes), _ROWS.format(kind=sql)).withColumn("dim", F.expr("cast(octet_length(v) / 8 as int)")))
     group = ["label", "dim", "list"]
     chunks = dealt.groupBy(*group).agg(*(F.ceil(F.count_if(F.col("role") == r) / CHUNK).cast("int").alias(c) for r, c in ((0, "db"), (1, "qs"))))

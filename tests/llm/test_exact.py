@@ -235,6 +235,22 @@ def test_embeddings(spark):
     assert {k: v for k, v in got.items()} == {k: {(links[k], parts[k], parts[k] == k)} for k in got} and len(got) == len({r[0] for r in rows})
 
 
+def test_embedding_recall_with_split_lists(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 32))
+    x = np.vstack([x, x[:300] + rng.normal(size=(300, 32)) * 0.25])
+    df = spark.createDataFrame([(i, [float(c) for c in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = (u @ u.T >= 0.93) & ~np.eye(len(u), dtype=bool)
+    got = {r.vec_id: r.n_links for r in embedding_dedup.embedding_groups(df, per_list=25, coarse=4).collect()}
+    assert all(got[i] <= near[i].sum() for i in got)
+    assert sum(got.values()) >= 0.9 * near.sum() > 200
+    q = embedding_dedup.Quantiser(u, 40, 4)
+    lists = q.near(u, 3)
+    every = np.array([((u[:, None, :] - q.centroids(np.arange(40))) ** 2).sum(2)])[0]
+    assert len(q.splits) == 10 and np.mean(lists[:, 0] == every.argmin(axis=1)) > 0.8
+
+
 # Licences.
 
 
