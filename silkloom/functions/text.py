@@ -6,6 +6,8 @@ WORD_CHARS what its `\\w` matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,12 +90,18 @@ def sentences(text: Column | str, least: int = 10, most: int = 1000) -> Column:
     return F.transform(F.filter(ends, lambda s: F.length(s).between(least, most)), strip)
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def chunks(text: Column | str, size: int = 1000, overlap: int = 100) -> Column:
     """Pieces of at most `size` characters that end at a space where there is one, each starting `overlap`
     characters before the end of the last. Ends with the piece that reaches the end of the text; where an overlap would
     stand still, the next piece starts at the end of the last one.
 
-    A fold over as many steps as a text can have pieces; the state is the cursor and the pieces so far.
+    A fold over as many steps as the text can have pieces; the state is the cursor and the pieces so far. A window's last
+    space is at most the longest word from its end, so each step moves on by size - overlap - longest word at least.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
@@ -106,15 +114,18 @@ def chunks(text: Column | str, size: int = 1000, overlap: int = 100) -> Column:
         # The last space at or before the limit, after the start.
         window = F.substr(raw, start + 1, F.lit(size + 1))
         back = F.length(F.regexp_replace(window, "(?s)[^ ]*$", "")) - 1
-        end = F.when((hard < n) & (back > 0), start + back).otherwise(hard)
-        after = F.when(end - overlap > start, end - overlap).otherwise(end)
-        piece = strip(F.substr(raw, start + 1, end - start))
-        more = F.struct(F.when(end >= n, n).otherwise(after).cast("int").alias("start"), (end >= n).alias("done"), F.concat(state["out"], F.array(piece)).alias("out"))
-        return F.when(state["done"], state).otherwise(more)
 
-    # A step moves on by one character at least, and by size - overlap unless it backs off to a space.
+        def cut(end: Column) -> Column:
+            after = F.when(end - overlap > start, end - overlap).otherwise(end)
+            piece = strip(F.substr(raw, start + 1, end - start))
+            return F.struct(F.when(end >= n, n).otherwise(after).cast("int").alias("start"), (end >= n).alias("done"), F.concat(state["out"], F.array(piece)).alias("out"))
+
+        return F.when(state["done"], state).otherwise(_let(F.when((hard < n) & (back > 0), start + back).otherwise(hard), cut))
+
     first = F.struct(F.lit(0).alias("start"), (n <= size).alias("done"), F.when(n <= size, F.array(raw)).otherwise(F.array().cast("array<string>")).alias("out"))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n)), first, step, lambda s: s["out"])
+    longest = F.array_max(F.transform(F.split(raw, " "), F.length))
+    steps = F.ceil(n / F.greatest(F.lit(size - overlap) - longest, F.lit(1))).cast("int") + 1
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), steps)), first, step, lambda s: s["out"])
 
 
 def word_count(text: Column | str) -> Column:

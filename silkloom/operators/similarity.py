@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from silkloom.functions.text import WORD_CHARS, as_column
+from silkloom.storage import ensure_checkpoint_dir
 
 THRESHOLD = 0.9
 #: Common English words; callers with a list of their own pass that.
@@ -65,7 +66,8 @@ def near_duplicates(texts: DataFrame, key: str = "doc_id", text: str = "text", t
     weighed = counted.join(df, "term").crossJoin(F.broadcast(total))  # one row
     weighed = weighed.withColumn("w", F.col("tf") * (F.ln((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     of_text = Window.partitionBy("id")
-    unit = weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_text))).select("id", "m", "term", "df", "w")
+    ensure_checkpoint_dir(texts.sparkSession)  # the weights are read four times
+    unit = weighed.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(of_text))).select("id", "m", "term", "df", "w").checkpoint()
     # What a term and the ones after it still hold of the length, in the global order.
     rest = F.sum(F.col("w") * F.col("w")).over(of_text.orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
     prefix = unit.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9)
