@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 
-from silkloom.llm import embedding_dedup, license_scan, sentencepiece_codec, simhash, source_mix, substring_dedup, token_counts
+from silkloom.llm import embedding_dedup, license_scan, near_copies, sentencepiece_codec, simhash, source_mix, substring_dedup, token_counts
 from silkloom.llm.common import connected_components
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -99,6 +99,58 @@ def test_covering_masks_cover():
                 assert any(m & differing == 0 for m in masks)
 
 
+# Near copies.
+
+
+def plain_shingles(text, k=5):
+    w = re.findall(r"[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else {tuple(w)} if w else set()
+
+
+@pytest.mark.parametrize("list_bytes", [4000, 4 << 20])
+def test_pipeline_stage_finds_all_near_copies(spark, monkeypatch, list_bytes):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "LIST_BYTES", list_bytes)
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    texts = list(AWKWARD) + ["One Two", "short text of four", "short TEXT of four"]
+    for n in range(40):
+        base = [rng.choice(words) for _ in range(rng.choice([12, 60, 150, 400]))]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            t = list(base)
+            for _ in range(rng.randint(0, max(1, len(t) // 40))):
+                t[rng.randrange(len(t))] = rng.choice(words)
+            texts.append(" ".join(t[rng.randint(0, 2) :]))
+    line, base = "a line that a third of all texts hold in the same words ".split(), [rng.choice(words) for _ in range(80)]
+    for n in range(60):
+        t = line + [rng.choice(words) for _ in range(30)] if n % 2 else list(base)
+        if n % 2 == 0:
+            for _ in range(rng.randint(1, 3)):
+                t[rng.randrange(80)] = f"e{n}"
+        texts.append(" ".join(t))
+    ids = rng.sample(range(-50, 900), len(texts))
+    sets = [plain_shingles(t) for t in texts]
+    linked = [(ids[i], ids[j]) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if 5 * len(a & b) >= 4 * len(a | b)]
+    near = [(a, b) for a, b in linked if sets[ids.index(a)] != sets[ids.index(b)]]
+    part = least_reachable(ids, linked)
+    left = dict(corpus_pipeline.STAGES)["simhash_dedup"](spark, documents(spark, texts, ids), "")
+    assert left.columns == ["doc_id", "text", "id", "label"] and len(near) > 100
+    assert sorted(r.doc_id for r in left.collect()) == sorted(i for i in ids if part[i] == i)
+
+
+def test_pairs_apart_in_a_list():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 40, 60).astype(np.uint64)) for _ in range(80)]
+    parts = rng.integers(0, 9, 80)
+    got = near_copies.apart(parts, sets)
+    assert all(parts[x] != parts[y] and near_copies.similar(sets[x], sets[y]) for x, y in got)
+    want = {tuple(sorted((parts[x], parts[y]))) for x in range(80) for y in range(x) if parts[x] != parts[y] and 5 * len({*sets[x]} & {*sets[y]}) >= 4 * len({*sets[x]} | {*sets[y]})}
+    assert {tuple(sorted((parts[x], parts[y]))) for x, y in got} == want and want
+    assert near_copies.apart(parts[:1], sets[:1]) == []
+
+
 # Substrings.
 
 
