@@ -128,6 +128,16 @@ def test_images(spark):
     assert image_copies.image_groups(df.limit(0)).count() == 0
 
 
+def test_crops_of_large_pictures_are_found():
+    whole = [image_copies.picture(n, 320) for n in range(6)]
+    crops = [x[70:230, 90:250] for x in whole]
+    halves = [image_copies._resized(x.astype(np.float32), 2.25) for x in whole]
+    got = image_copies.describe([np.asarray(x, np.float32) for x in whole + crops + halves])
+    assert len(got[0][0]) > 4 * image_copies.KEYPOINTS
+    for edits in (got[6:12], got[12:]):
+        assert all((image_copies.consensus(got[i], edits[j]) > 0) == (i == j) for i in range(6) for j in range(6))
+
+
 # Pipeline and registry.
 
 
