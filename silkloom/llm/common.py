@@ -1,34 +1,77 @@
-"""Shared plumbing of the training-data operators: shared folder, materialised tables, components."""
+"""Shared plumbing of the training-data operators: shared folder, stored tables, joins of hot keys, components."""
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: the characters that end a word, as bytes.split() takes them too.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_OPEN: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. Only a local session may go without one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="silkloom-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialise(df: DataFrame, drop: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    Its shuffle files go when it is written, and so do the stored tables in `drop`, which it was made of.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/silkloom/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    for made in _OPEN[-1:]:
+        made.append(path)
+    delete(spark, *(p for d in drop if (p := _PATHS.pop(d, None))))
+    return out
+
+
+def delete(spark: SparkSession, *paths: str) -> None:
+    """Remove stored tables, wherever they are."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables stored in this block are removed at its end, but for those passed to the function it gives."""
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield kept.append
+    finally:
+        _OPEN.remove(made)
+        own = {_PATHS[d] for d in kept if d in _PATHS}
+        delete(spark, *(p for p in made if p not in own))
 
 
 def sliced(batches, rows: int = 512):
@@ -50,24 +93,41 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hot_join(rows: DataFrame, table: DataFrame, on: str, count: str, total: int | None = None, how: str = "left") -> DataFrame:
+    """rows joined to a table of one row a key, whose column `count` says how many of the rows have the key.
+
+    Keys with more rows than a quarter of an even share of a partition are looked up by broadcast: by that measure there
+    are fewer than four for each partition, however large the input. All other rows are shuffled. Both sides are read
+    more than once, so they should be stored tables. Null keys find nothing.
+    """
+    total = rows.count() if total is None else total
+    table = table.where(F.col(on).isNotNull())
+    hot = F.broadcast(table.where(F.col(count) * (4 * partitions(rows.sparkSession)) > total).drop(count))
+    rest = rows.join(hot.select(on), on, "left_anti").join(table.drop(count), on, how)
+    return rows.join(hot, on).unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) links of long ids -> (node, component), component being the smallest id reachable.
 
-    Alternating large-star and small-star rounds: every round is aggregations and equi-joins, so a hub with
-    any number of neighbours is pre-aggregated and its join is split by AQE. Nodes without links are absent.
+    Alternating large-star and small-star rounds, until every node either is the least of its neighbourhood or has one
+    neighbour. Least neighbours come from aggregations that combine before the shuffle, and go back to the links by
+    `hot_join`, so no task gets the links of a hub. Nodes without links are absent.
     """
-    pairs = edges.where("a <> b").select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a"))
-    stars, seen = materialise(pairs.select("a", "b").distinct()), None
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    stars, drop = pairs.distinct(), ()
     while True:
-        now = stars.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1000003)).first()
-        if now == seen or now[0] == 0:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
-                stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        seen = now
+        size, open_nodes = Observation(), Observation()
+        stars = materialise(stars.observe(size, F.count("*").alias("n")), drop)
+        n = size.get.get("n", 0)
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        stars = materialise(small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"), F.count("*").alias("n"))
+        least = materialise(least.observe(open_nodes, F.count_if(F.expr("m <> a and n > 1")).alias("n")))
+        if not n or not open_nodes.get.get("n", 0):
+            return least.select(F.col("a").alias("node"), F.col("m").alias("component"))
+        large = hot_join(both, least, "a", "n", 2 * n, "inner").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = materialise(large, (least,))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
+        small = hot_join(large, low, "a", "n", n, "inner").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        drop = (stars, large, low)
+        stars = small.union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkloom.llm.common import connected_components, materialise, sliced
+from silkloom.llm.common import connected_components, hot_join, materialise, sliced
 
 BITS = 64
 LEAF = 2048
@@ -96,7 +96,7 @@ def covering_links(fps: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFra
     """Distinct fingerprints (fp) -> links (a, b) with the same components as all links within the radius."""
     everything = (1 << BITS) - 1
     masks, level = covering_masks(everything, radius), fps.select(F.lit(0).cast("long").alias("mask"), "fp")
-    links = None
+    links, rows = None, level.count()
     while True:
         # Masks of the next level by the mask so far; few, and the same at any size of the input.
         if links is None:
@@ -106,14 +106,16 @@ def covering_links(fps: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFra
         tables = [(_signed(m), [_signed(x) for x in xs]) for m, xs in refined.items()]
         masked = level.sparkSession.createDataFrame(tables, "mask long, finer array<long>")
         keys = level.join(F.broadcast(masked), "mask").select(F.explode("finer").alias("mask"), "fp")
-        keys = keys.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("bucket"), "fp")
-        sizes = keys.groupBy("mask", "bucket").agg(F.count("*").alias("n")).where("n > 1")
-        shared = materialise(keys.join(sizes, ["mask", "bucket"]))
-        small = shared.where(F.col("n") <= leaf).groupBy("mask", "bucket").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+        # A bucket's name is a hash of mask and masked bits: two buckets of one name are compared as one.
+        keys = keys.select("mask", F.xxhash64("mask", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp")
+        sizes = materialise(keys.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").withColumn("rows", F.col("n")))
+        shared = materialise(hot_join(keys, sizes, "bucket", "rows", rows * (2 ** (radius + 1) - 1), "inner"), (sizes,))
+        small = shared.where(F.col("n") <= leaf).groupBy("bucket").agg(F.sort_array(F.collect_set("fp")).alias("fps"))
         found = small.select("fps").mapInArrow(_forests(radius), "a long, b long").distinct()
         links = found if links is None else links.union(found)
-        level = shared.where(F.col("n") > leaf).select("mask", "fp").distinct()
-        if level.isEmpty():
+        level = materialise(shared.where(F.col("n") > leaf).select("mask", "fp").distinct())
+        rows = level.count()
+        if not rows:
             return links
 
 
@@ -133,12 +135,13 @@ def _forests(radius: int):
 def simhash_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, radius: int = 3) -> DataFrame:
     """key, fp, fingerprint (16 hex digits), component_id (smallest key reachable by links)."""
     fps = materialise(fingerprints(docs, key, text, k))
-    first = materialise(fps.groupBy("fp").agg(F.min(key).alias("first")))
+    total = fps.count()
+    first = materialise(fps.groupBy("fp").agg(F.min(key).alias("first"), F.count("*").alias("copies")))
     parts = connected_components(covering_links(first.select("fp"), radius))
-    named = first.join(parts, first.fp == parts.node, "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
-    least = named.groupBy("part").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "part").select("fp", "component_id")
-    return fps.join(classes, "fp").select(key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = materialise(first.join(parts, first.fp == parts.node, "left").select("fp", "first", "copies", F.coalesce("component", "fp").alias("part")))
+    least = materialise(named.groupBy("part").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    classes = materialise(hot_join(named, least, "part", "n").select("fp", "component_id", "copies"), (named, least))
+    return hot_join(fps, classes, "fp", "copies", total).select(key, "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = 3, radius: int = 3) -> DataFrame:
