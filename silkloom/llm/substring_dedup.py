@@ -10,9 +10,9 @@ cover positions (4 of 13), and any two equal windows contain an equal, aligned a
 1. Anchors. Blocks of documents send each distinct anchor hash once, with the id of its document; an anchor that
    repeats within a block is known to be shared there and then. Bucket by bucket, the hashes that come from more
    than one block are found by sorting and reported to their documents.
-2. Extension. Only documents with shared anchors are read again. Each shared anchor is extended to all whole
-   windows around it (128-bit hashes); blocks send each distinct window once, at its earliest place, and buckets
-   find the earliest place of all.
+2. Extension. Only documents with shared anchors are read again, from a table stored for it. Each shared anchor is
+   extended to all whole windows around it; blocks send each distinct window once, at its earliest place, and buckets
+   find the earliest place of all. Windows are compared by 96 bits, mixed of two independent hashes of each word.
 3. Each document receives the starts of its repeated windows and drops the words they cover.
 
 No step sends more than one record of a hash for each block, so a passage that a third of all documents share
@@ -20,7 +20,8 @@ costs a record a block, not one a document; no pairs are formed. Buckets are sor
 
 Null, empty and short texts have no window and lose nothing. An id names one text: rows that repeat an id are
 taken as the same document, and as equal places do not start earlier than themselves, both keep their words.
-Null ids order before all others.
+Null ids order before all others. An empty table gives an empty result. Other columns, whatever their names, are passed
+on by `remove_repeats` and left out by `dedup_digests`.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ _S33, _S29 = np.uint64(33), np.uint64(29)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    """Two independent hashes of each word, as the columns of an array."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), "<u8").reshape(-1, 2)
 
 
 def _roll(h: np.ndarray, at: np.ndarray, width: int, c: np.uint64) -> np.ndarray:
@@ -85,10 +87,10 @@ def _blocks(batches, *columns: str) -> Iterator[tuple]:
 
 
 def _laid_out(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of all documents in a row, their starts and their lengths."""
+    """Both word hashes of all documents in a row, the documents' starts and their lengths."""
     lengths = np.array([len(w) for w in words], np.int64)
     starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64)
-    return np.concatenate(words), starts, lengths
+    return np.ascontiguousarray(np.concatenate(words).T), starts, lengths
 
 
 def _by_doc(ids: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -120,7 +122,7 @@ def _slices(buckets: np.ndarray, n: int) -> Iterator[tuple[int, int, int]]:
 def _send_anchors(n_buckets: int):
     def run(batches):
         for ids, words, _ in _blocks(batches):
-            h, starts, lengths = _laid_out(words)
+            (h, _), starts, lengths = _laid_out(words)
             at, doc = anchor_places(starts, lengths)
             hashes, own = _roll(h, at, ANCHOR, _C1), np.array(ids, np.int64)[doc]
             order = np.argsort(hashes)
@@ -153,6 +155,11 @@ def _unpacked(data: bytes, n: int) -> np.ndarray:
     return np.frombuffer(data, np.int64, n, 8) if len(data) == 8 + 8 * n else low + np.frombuffer(data, np.uint32, n, 8).astype(np.int64)
 
 
+def _short(begin: np.ndarray) -> bytes:
+    """Starts as 16-bit numbers where they fit, else as 32-bit ones."""
+    return (begin.astype(np.uint16) if begin.max() < 1 << 16 else begin).tobytes()
+
+
 def _buckets(batches) -> Iterator[tuple[list[tuple], list[tuple]]]:
     """(direct rows, sent rows) of each bucket; rows come sorted by bucket."""
     now, direct, sent = None, [], []
@@ -249,7 +256,7 @@ def _shared_anchors(teams: int):
 def _send_windows(n_buckets: int):
     def run(batches):
         for ids, words, rest in _blocks(batches, "found"):
-            h, starts, lengths = _laid_out(words)
+            (h, g), starts, lengths = _laid_out(words)
             at, doc = anchor_places(starts, lengths)
             hashes = _roll(h, at, ANCHOR, _C1)
             # An anchor that is shared anywhere in the block is shared in every document that has it.
@@ -267,7 +274,7 @@ def _send_windows(n_buckets: int):
             fits = where + WINDOW <= starts[doc] + lengths[doc]
             where, doc = where[fits], doc[fits]
             own, begin = np.array(ids, np.int64)[doc], where - starts[doc]
-            h1, h2 = _roll(h, where, WINDOW, _C1), _roll(h, where, WINDOW, _C2)
+            h1, h2 = _roll(h, where, WINDOW, _C1), _roll(g, where, WINDOW, _C2).astype(np.uint32)
             order = np.lexsort((begin, own, h2, h1))
             h1, h2, own, begin = h1[order], h2[order], own[order], begin[order]
             new, later = _later(h1, h2, own, begin)
@@ -277,7 +284,7 @@ def _send_windows(n_buckets: int):
             order = np.argsort(bucket, kind="stable")
             h1, h2, own, begin, bucket = h1[order], h2[order], own[order], begin[order], bucket[order]
             for k, s, e in _slices(bucket, n_buckets):
-                rows.append((k, None, np.stack([h1[s:e], h2[s:e]]).tobytes(), _packed(own[s:e]), begin[s:e].tobytes()))
+                rows.append((k, None, h1[s:e].tobytes() + h2[s:e].tobytes(), _packed(own[s:e]), _short(begin[s:e])))
             yield _send(rows)
 
     return run
@@ -289,12 +296,13 @@ def _later_windows(teams: int):
         for direct, sent in _buckets(batches):
             replies.direct(direct, np.uint32)
             if sent:
-                sizes = [len(r[3]) // 4 for r in sent]
-                both = np.concatenate([np.frombuffer(r[1], np.uint64).reshape(2, -1) for r in sent], axis=1)
+                sizes = [len(r[1]) // 12 for r in sent]
+                h1 = np.concatenate([np.frombuffer(r[1], np.uint64, n) for r, n in zip(sent, sizes)])
+                h2 = np.concatenate([np.frombuffer(r[1], np.uint32, n, 8 * n) for r, n in zip(sent, sizes)])
                 own = np.concatenate([_unpacked(r[2], n) for r, n in zip(sent, sizes)])
-                begin = np.concatenate([np.frombuffer(r[3], np.uint32) for r in sent])
-                order = np.lexsort((begin, own, both[1], both[0]))
-                h1, h2, own, begin = both[0][order], both[1][order], own[order], begin[order]
+                begin = np.concatenate([np.frombuffer(r[3], np.uint16 if len(r[3]) == 2 * n else np.uint32).astype(np.uint32) for r, n in zip(sent, sizes)])
+                order = np.lexsort((begin, own, h2, h1))
+                h1, h2, own, begin = h1[order], h2[order], own[order], begin[order]
                 later = _later(h1, h2, own, begin)[1]
                 replies.add(own[later], begin[later])
             yield from replies.rows(_HELD)
@@ -325,8 +333,8 @@ def repeated_starts(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     n = partitions(docs.sparkSession)
     chosen = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(_NULL_ID)).alias("__id"), F.col(text).alias("__text"))
     anchors = materialise(_gathered(chosen.mapInArrow(_send_anchors(2 * n), _SENT_SQL), _shared_anchors, np.uint64, n))
-    again = chosen.join(anchors, chosen["__id"] == anchors["id"]).select("__id", "__text", "found")
-    return materialise(_gathered(again.mapInArrow(_send_windows(2 * n), _SENT_SQL), _later_windows, np.uint32, n))
+    again = materialise(chosen.join(anchors, chosen["__id"] == anchors["id"]).select("__id", "__text", "found"), (anchors,))
+    return materialise(_gathered(again.mapInArrow(_send_windows(2 * n), _SENT_SQL), _later_windows, np.uint32, n), (again,))
 
 
 def kept_words(words: list[bytes], found: bytes | None) -> list[bytes]:
