@@ -6,31 +6,35 @@ a language costs the sum over bits of the bit's weight times the logistic loss o
 codeword, and the cheapest language wins. The score is the softmax of the negative costs (0 to 1); `ambiguous`
 says that the two cheapest languages are closer than a margin.
 
-The classifiers are fitted on a bounded sample: about PER_LANGUAGE labelled documents of each language, chosen by
-a hash of the id, on the driver (FEATURES 2-byte floats each). Prediction reads every whole text and nothing else.
-
-Texts that are null or have no letter are `und` with score 0; so is everything if nothing was labelled. With one
-language learned, it is the prediction of every text with a letter. Empty tables give empty results.
+The classifiers are fitted on the driver on a bounded sample of FEATURES 2-byte floats a row: SAMPLE rows in all, and at
+most PER_LANGUAGE of each language, chosen by a hash of the id. At most LANGUAGES languages are learned, those with the
+most labelled documents (ties: the lesser name), so junk tags cost the driver nothing. Prediction reads every whole text
+and nothing else.
+
+Texts that are null or have no letter (Unicode category L) are `und` with score 0; so is everything if nothing was
+labelled. With one language learned, it is the prediction of every text with a letter. Languages of equal cost go to
+the lesser name. Repeated rows give repeated results; all rows of an id are held out or none. Empty tables give empty
+results. Other columns are not read by `identify`, whatever their names; `predict` replaces clashing ones.
 """
 
 from __future__ import annotations
 
 import itertools
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silkloom.llm.common import sliced
 
 FEATURES = 8192
-PER_LANGUAGE = 700
+PER_LANGUAGE, SAMPLE, LANGUAGES = 700, 6000, 128
 ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint32(2654435761)
 
 
@@ -117,22 +121,25 @@ def train(x: np.ndarray, y: list[str], steps: int = 300, rate: float = 4.0, deca
 
 
 def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
-    """Fit on about per_language usable rows of each language: those whose hash of the key is below the share that gives them."""
+    """Fit on usable rows with a label and a letter: of each language those whose hash of the key is below the share that
+    gives about per_language rows, or an equal part of SAMPLE if that is less."""
     ok = usable & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(text).rlike(r"\p{L}")
-    sizes = docs.where(usable & F.col(lang).isNotNull()).groupBy(lang).count().collect()
-    at = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)) / float(1 << 30)
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col(lang) == r[lang], F.lit(min(1.0, per_language / r["count"]))).otherwise(share)
+    named = docs.where(usable).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).where("lang is not null")
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return train(np.zeros((0, FEATURES), np.float32), [])
+    each = min(per_language, SAMPLE // len(sizes))
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, each / r["n"])) for r in sizes], "lang string, share double")
+    at = F.pmod(F.xxhash64("key"), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches):
         for b in sliced(batches):
             rows = [features(t).astype(np.float16).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["lang", "x"])
 
-    chosen = docs.where(ok & (at < share)).select(F.col(lang).alias("lang"), text)
-    got = chosen.mapInArrow(run, "lang string, x binary").toArrow() if sizes else None
-    if not got or not got.num_rows:
+    chosen = docs.where(ok).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(key).alias("key")).join(F.broadcast(shares), "lang").where(at < F.col("share"))
+    got = chosen.select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
+    if not got.num_rows:
         return train(np.zeros((0, FEATURES), np.float32), [])
     # Ordered by its bytes, so that the fit does not depend on how the rows were spread.
     rows = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist(), strict=True))

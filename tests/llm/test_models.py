@@ -52,6 +52,32 @@ def test_language_id_without_labels(spark):
     assert {r.lang_pred for r in language_id.identify(one).collect()} == {"en"}
 
 
+def test_language_id_takes_only_letters_for_letters(spark):
+    texts = ["①", "½ ²", "Ⅷ", "١٢", "_ ª", "ж"]
+    rows = [(5000 + i, t, None) for i, t in enumerate(texts)] + [(i, t, lang) for i, t, lang, _ in spoken(80)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(spark.createDataFrame(rows + rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[5000 + i] == "und" for i in range(len(texts))] == [True, True, True, True, False, False]
+
+
+def test_decoding_takes_the_codeword_of_least_loss():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(60, 12)), [f"l{i % 5}" for i in range(60)]
+    model = language_id.train(x.astype(np.float32), y)
+    for row in x:
+        margins = [float(sum(row[f] * model.weights[f, b] for f in range(12)) + model.bias[b]) for b in range(model.code.shape[1])]
+        cost = [sum(float(model.trust[b]) * float(np.log1p(np.exp(-int(c[b]) * m))) for b, m in enumerate(margins)) for c in model.code]
+        best, score, ahead = model.decode(row)
+        p = sorted(np.exp(min(cost) - np.array(cost)) / np.exp(min(cost) - np.array(cost)).sum())
+        assert cost[best] == min(cost) and abs(score - p[-1]) < 1e-6 and abs(ahead - (p[-1] - p[-2])) < 1e-6
+
+
+def test_languages_that_are_learned_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "LANGUAGES", 2)
+    rows = [(i, "abc", f"t{i}") for i in range(30)] + [(100 + i, t, v) for i, (t, v) in enumerate([("the ing", "en"), ("sch ung", "de")] * 40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert model.languages == ["de", "en"]
+
+
 def test_codewords_are_apart():
     for n in (2, 3, 4, 6, 9, 40):
         code = language_id.codewords(n)
