@@ -100,6 +100,10 @@ LONG = "word " * 30
         ("<article><p>one<i>two</i> three</p><script>var t='</p>';</script><style>p{}</style><!-- <p>no</p> --><p>end &am", "onetwo three\nend &am"),
         ("<article><p title='a>b' class=\"x\">in</p><p>a < b</p><aside>side</aside><form>f</form><div class=comments><p>nice</p></div></article>", "in\na < b"),
         (f"<div class='sidebar'><p>{LONG}</p></div><div><p>{LONG}</p><p>{LONG}</p></div><div id=cookie-notice>{LONG}</div>", f"{LONG.strip()}\n{LONG.strip()}"),
+        ("<article><p>first part</p><button>Click<p>the rest</p><svg><p>of it</article>", "first part\nthe rest\nof it"),
+        ("<article><p>so <math><mi>x</mi></math> is <object>drawn</object></p><button>Buy</button><p>on</p></article>", "so x is drawn\non"),
+        (f"<article><p>{LONG}<p class='sponsored-research'>a b<p class='lead social'>c d<div class='post-comment-policy'>e f</div></article><div class='comments'><p>{LONG}</div>", f"{LONG.strip()}\na b\nc d\ne f"),
+        ("<article><p>in<script>if (a</b) '</p>'", "in"),
         ("<article><p>cut off <a href='x", "cut off"),
     ],
 )
@@ -107,6 +111,70 @@ def test_pages(page, text):
     assert html_extract.main_text(page, html_extract.train()) == text
 
 
+def uses(tree):
+    return set() if isinstance(tree, bool) else {html_extract.FEATURES[tree[0]]} | uses(tree[2]) | uses(tree[3])
+
+
+def test_lengths_and_links_of_neighbours_decide_where_names_tell_nothing():
+    assert {"words", "density", "hint", "article"} <= uses(html_extract.train())
+    assert uses(html_extract.train()) & {"words before", "density before"} and uses(html_extract.train()) & {"words after", "density after"}
+    menu = "".join(f"<div class='b{i}'><a>word word</a></div>" for i in range(6))
+    page = f"<body>{menu}<div class='b7'>word word word</div><div class='b8'>{LONG}</div><div>{LONG} <a>here</a></div>{menu}"
+    assert html_extract.main_text(page, html_extract.train()) == f"{LONG.strip()}\n{LONG}here"
+
+
+def test_held_out_pages():
+    tree, right, wrong = html_extract.train(), 0, 0
+    for page in html_extract.labelled_pages(300, seed=99):
+        found = html_extract.blocks(page)
+        for b, row in zip(found, html_extract.features(found).tolist()):
+            said = html_extract.decide(tree, row)
+            right += said and b.label == 1
+            wrong += b.label is not None and said != b.label
+    assert 2 * right / (2 * right + wrong) > 0.98
+
+
+def test_blocks_are_cut_as_by_a_plain_parser():
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.now = [], ""
+
+        def cut(self):
+            self.out += [" ".join(self.now.split())] if self.now.split() else []
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_extract.BLOCK_TAGS:
+                self.cut()
+            elif tag == "br":
+                self.now += " "
+
+        def handle_endtag(self, tag):
+            if tag in html_extract.BLOCK_TAGS:
+                self.cut()
+
+        def handle_data(self, data):
+            self.now += data
+
+    rng = random.Random(3)
+
+    def node(depth):
+        tag = rng.choice(["p", "div", "ul", "li", "b", "i", "span", "section", "td", "h2", "a"])
+        inside = "".join(rng.choice(["t%d " % rng.randrange(99), "&amp;", "&#233;x", "<br>", "\n", "<!-- c -->"]) if depth > 3 or rng.random() < 0.6 else node(depth + 1) for _ in range(rng.randrange(5)))
+        return f"<{tag} title='x'>{inside}</{tag}>"
+
+    for _ in range(300):
+        page = "".join(node(0) for _ in range(3))
+        plain = Plain()
+        plain.feed(page)
+        plain.close()
+        plain.cut()
+        assert [b.text for b in html_extract.blocks(page)] == plain.out, page
+
+
 def test_extract(spark):
     df = spark.createDataFrame([(1, "u", f"<article><p>é 😀</p></article>", "n"), (2, None, None, "n"), (2, None, None, "n"), (3, "u", "<article><p>" + "x " * 200000, "n")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_extract.extract(df).collect())
