@@ -98,13 +98,14 @@ def hot_join(rows: DataFrame, table: DataFrame, on: str, count: str, total: int
 
     Keys with more rows than a quarter of an even share of a partition are looked up by broadcast: by that measure there
     are fewer than four for each partition, however large the input. All other rows are shuffled. Both sides are read
-    more than once, so they should be stored tables. Null keys find nothing.
+    more than once, so they should be stored tables. Null keys find nothing and are not shuffled.
     """
     total = rows.count() if total is None else total
     table = table.where(F.col(on).isNotNull())
     hot = F.broadcast(table.where(F.col(count) * (4 * partitions(rows.sparkSession)) > total).drop(count))
-    rest = rows.join(hot.select(on), on, "left_anti").join(table.drop(count), on, how)
-    return rows.join(hot, on).unionByName(rest)
+    named = rows.where(F.col(on).isNotNull())
+    found = named.join(hot, on).unionByName(named.join(hot.select(on), on, "left_anti").join(table.drop(count), on, how))
+    return found.unionByName(rows.where(F.col(on).isNull()), allowMissingColumns=True) if how == "left" else found
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

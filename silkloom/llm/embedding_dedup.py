@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from silkloom.llm.common import connected_components, materialise, sliced
+from silkloom.llm.common import connected_components, hot_join, materialise, sliced
 
 THRESHOLD, PROBES, LIST, COARSE, SPLITS, CHUNK, SAMPLE, PARTS, CODES = 0.93, 8, 800, 2048, 1024, 2048, 16384, 8, 64
 
@@ -55,7 +55,7 @@ def directions(vectors: DataFrame, key: str, vector: str, label: str) -> DataFra
                 x = unit(values) if who is not None and group is not None else None
                 data = None if x is None else (x + 0.0).tobytes()
                 found.append(data)
-                digests.append(None if x is None else hashlib.blake2b(data, digest_size=16, key=str(group).encode()[:64]).digest())
+                digests.append(None if x is None else hashlib.blake2b(len(data).to_bytes(8, "little") + data + str(group).encode(), digest_size=16).digest())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(digests, pa.binary()), pa.array(found, pa.binary())], names=["key", "label", "digest", "v"])
 
     chosen = vectors.select(key, vector, F.col(label).cast("string"))
@@ -214,6 +214,7 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     """key, n_links, component_id (smallest key reachable), kept (key = component_id): one row for each vector."""
     named = materialise(directions(vectors, key, vector, label))
     good = named.where("digest is not null").groupBy("label", "digest")
+    total = named.count()
     distinct = materialise(good.agg(F.min("key").alias("key"), F.count("*").alias("n"), F.first("v").alias("v")).withColumn("dim", F.expr("cast(octet_length(v) / 8 as int)")))
     sql = named.schema["key"].dataType.simpleString()
     kind = pa.int64() if sql == "bigint" else pa.int32()
@@ -226,6 +227,7 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     dealt = materialise(distinct.mapInArrow(_dealt(quantisers, kind, probes), _ROWS.format(kind=sql)).withColumn("dim", F.expr("cast(octet_length(v) / 8 as int)")))
     group = ["label", "dim", "list"]
     chunks = dealt.groupBy(*group).agg(*(F.ceil(F.count_if(F.col("role") == r) / CHUNK).cast("int").alias(c) for r, c in ((0, "db"), (1, "qs"))))
+    chunks = materialise(chunks)
     parted = dealt.join(chunks, group)
     at = F.pmod(F.xxhash64("key", "role"), F.when(F.col("role") == 0, F.greatest("db", F.lit(1))).otherwise(F.greatest("qs", F.lit(1)))).cast("int")
     others = F.sequence(F.lit(0), F.when(F.col("role") == 0, F.greatest("qs", F.lit(1))).otherwise(F.greatest("db", F.lit(1))) - 1)
@@ -234,8 +236,8 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     found = materialise(spread.groupBy(*group, "d", "q").applyInArrow(_compared(quantisers, threshold, kind), f"key {sql}, links long, peer {sql}"))
     parts = connected_components(found.select(F.col("key").cast("long").alias("a"), F.col("peer").cast("long").alias("b")))
     links = found.groupBy("key").agg(F.sum("links").alias("links"))
-    classes = distinct.select("label", "digest", "key", "n").join(links, "key", "left").join(parts, F.col("key") == F.col("node"), "left")
-    classes = classes.select("label", "digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "key").cast(sql).alias("component_id"))
-    rows = named.select("key", "label", "digest").join(classes, ["label", "digest"], "left")
+    classes = distinct.select("digest", "key", "n").join(links, "key", "left").join(parts, F.col("key") == F.col("node"), "left")
+    classes = materialise(classes.select("digest", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "key").cast(sql).alias("component_id"), "n"))
+    rows = hot_join(named.select("key", "digest"), classes, "digest", "n", total)
     component = F.coalesce("component_id", "key")
     return rows.select(F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("key") == component, F.lit(True)).alias("kept"))

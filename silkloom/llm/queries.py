@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +27,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    mixed = source_mix.mix(docs.withColumns({c: F.coalesce(c, F.lit("")) for c in ("source", "lang")}))
+    mixed = source_mix.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability", "kept")
 
 
@@ -84,7 +82,7 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [op1_image_copies, op2_simhash, op3_source_mix, op4_embedding_dedup, op5_token_counts, op6_language_id, op7_substring_dedup, op8_sentencepiece, op9_html_extract, op10_license_scan]
-    return {f.__name__: f for f in named} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -328,10 +328,10 @@ def test_licenses(spark):
 def test_mix_meets_targets(spark):
     rows = [(i, "w " * (1 + i % 9), ["a", "a", "a", "b", None][i % 5], ["en", "fr"][i % 7 == 0], "x") for i in range(4000)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, weight string")
-    wanted = {"source": {"a": 0.3, "b": 0.4, "": 0.3}, "lang": {"en": 0.5, "fr": 0.5}, "topic": 0.0}
+    wanted = {"source": {"a": 0.3, "b": 0.4, None: 0.3}, "lang": {"en": 0.5, "fr": 0.5}, "topic": 0.0}
     got = source_mix.mix(df, targets=wanted).cache()
     for dim in ("source", "lang"):
-        sums = {r[0] or "": r[1] for r in got.groupBy(dim).agg(F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
+        sums = {r[0]: r[1] for r in got.groupBy(dim).agg(F.sum(F.col("n_tokens") * F.col("probability"))).collect()}
         assert all(abs(v / sum(sums.values()) - wanted[dim][k]) < 1e-3 for k, v in sums.items())
     assert got.agg(F.max("probability")).first()[0] == 1.0 and 0 < got.where("kept").count() < 4000
     again = source_mix.mix(df.repartition(7), targets=wanted).where("kept").select("doc_id")
@@ -350,3 +350,24 @@ def test_mix_edges(spark):
         assert sorted(map(repr, source_mix.mix(df).collect())) == sorted(map(repr, big.collect()))
     finally:
         source_mix.MAX_CELLS, source_mix.BROADCAST_CELLS = source_mix_small
+
+
+# Source mix.
+
+
+def test_mix_meets_its_targets_on_either_path(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice(["a", "b", "", None]), rng.choice(["en", "fr", None]), "own") for i in range(600)] + [(7, None, "a", "en", "own")] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, weight string")
+    targets = {"source": {"a": 0.5, "b": 0.25, "": 0.125, None: 0.125}, "lang": 0.5}
+    seen = []
+    for cells in (source_mix.MAX_CELLS, 3):
+        monkeypatch.setattr(source_mix, "MAX_CELLS", cells)
+        got = source_mix.mix(docs, targets=targets).collect()
+        weight, own = {(r.source, r.lang): r.weight for r in got if r.n_tokens}, Counter()
+        for (source, _), w in weight.items():
+            own[source] += w
+        assert all(abs(own[v] - part) < 1e-5 for v, part in targets["source"].items()) and len(weight) == 12
+        assert max(r.probability for r in got) == 1 and len({r.kept for r in got if r.doc_id == 7}) == 1
+        seen.append(sorted((r.doc_id, r.kept) for r in got))
+    assert seen[0] == seen[1] and source_mix.mix(docs.limit(0), targets=targets).count() == 0
