@@ -229,10 +229,10 @@ def test_small_chunk_table_gives_the_same_ids(monkeypatch):
 
 
 def plain_count(word, scores):
-    w = "▁" + word
+    w, longest = "▁" + word, max(map(len, scores))
     best = [(0.0, 0)]
     for i in range(1, len(w) + 1):
-        found = [(best[j][0] + scores[w[j:i]], -j, best[j][1] + 1) for j in range(i) if w[j:i] in scores]
+        found = [(best[j][0] + scores[w[j:i]], -j, best[j][1] + 1) for j in range(max(0, i - longest), i) if w[j:i] in scores]
         if w[i - 1] not in scores:
             n = len(w[i - 1].encode())
             found.append((best[i - 1][0] + n * token_counts.BYTE_SCORE, -i, best[i - 1][1] + n))
@@ -242,18 +242,26 @@ def plain_count(word, scores):
 
 
 def test_token_counts(spark):
-    texts = [t for t in AWKWARD if t is None or len(t) < 20000] + random_texts(8) + ["internationalization unbelievably 😀①é"]
+    texts = AWKWARD + random_texts(8) + ["internationalization unbelievably 😀①é"] * 2
     scores = token_counts.piece_scores(MODEL)
     got = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.count_tokens(documents(spark, texts), MODEL).collect()}
     for i, t in enumerate(texts):
         w = re.findall(r"[^\x20\x09-\x0d]+", t or "")
-        assert got[i] == (len(w), sum(plain_count(x, scores) for x in w))
+        assert got[i] == (len(w), sum(n * plain_count(x, scores) for x, n in Counter(w).items()))
+    assert token_counts.count_tokens(documents(spark, []), MODEL).count() == 0
 
 
 def test_trie_shares_prefixes():
     trie = token_counts.Trie(token_counts.piece_scores(MODEL))
-    trie.insert({"national", "nationality", "nations"})
-    assert trie.scored == len("▁national") + 3 + 1
+    trie.insert(["national", "nationality", "nations"])
+    assert trie.scored == len("▁nationality") + 1
+    trie.insert(["nationally"])
+    assert trie.scored == len("▁nationality") + 1 + 2
+    small = token_counts.Trie(trie.scores, 20)
+    texts = random_texts(3) + [None, "", " a", "b" * 300 + " b"]
+    for some in (texts[:20], texts[20:], texts):
+        got, want = (t.totals(pa.array(some)) for t in (small, trie))
+        assert [x.tolist() for x in got] == [x.tolist() for x in want]
 
 
 # Embeddings.
