@@ -205,7 +205,7 @@ def test_images(spark):
     df = spark.createDataFrame(rows, "image_id long, data binary, digest string").repartition(3)
     found = image_copies.image_groups(df).collect()
     got = {r.image_id: r for r in found}
-    assert got[None].n_links == 0 and got[None].kept and got[None].component_id is None
+    assert got[None].n_matched == 0 and got[None].kept and got[None].component_id is None
     assert len(found) == len(rows)
     # The links found through the tables are those of a comparison of every pair.
     described = {i: d for i, d in zip(truth, image_copies.describe([image_copies.decode(next(x for k, x, _ in rows if k == i)) for i in truth]))}
@@ -217,7 +217,7 @@ def test_images(spark):
                 parent = {k: low if v in (parent[a], parent[b]) else v for k, v in parent.items()}
     assert {i: got[i].component_id for i in truth} == parent
     assert all((truth[a] == truth[b]) == (parent[a] == parent[b]) for a in truth for b in truth)
-    assert got[102].component_id == got[103].component_id == 102 and got[103].n_links == 1
+    assert got[102].component_id == got[103].component_id == 102 and got[103].n_matched == 1
     assert [got[i].component_id for i in (100, 101, 104, 105, 107)] == [100, 101, 104, 105, 107] and got[104].n_keypoints == 0
     assert image_copies.image_groups(df.limit(0)).count() == 0
 
