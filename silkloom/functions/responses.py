@@ -41,6 +41,27 @@ def critic_check(response: Column | str) -> Column:
     return _scored(response, SEVERITY, PROBLEMS, 1.0, 5.0, ("severity_score", "issues"))
 
 
+#: What each side of the dual check looks at, and the lines it is asked to answer with.
+_GENERATOR = ("Side A: rate one sample of the task {task}: language, sense, agreement of its parts, form.", (f"{SCORE}: <0-1>", f"{ADVICE[0]}: <text>"))
+_CRITIC = ("Side B: find faults in one sample of the task {task}: logic, contradictions, nonsense, faults of this kind of task.", (f"{SEVERITY}: <1-5>", f"{PROBLEMS[0]}: <text>"))
+
+
+def _asked(sample: Column | str, task: str, role: tuple[str, tuple[str, ...]]) -> Column:
+    what, lines = role
+    answer = "Answer in Thai with these lines only, one number in the first, the second once for each point:"
+    return F.concat(F.lit(what.format(task=task) + "\n\n"), as_column(sample), F.lit("\n\n" + "\n".join((answer, *lines))))
+
+
+def generator_prompt(sample: Column | str, task: str) -> Column:
+    """A question whose answer generator_check can read, about a sample given as text or JSON."""
+    return _asked(sample, task, _GENERATOR)
+
+
+def critic_prompt(sample: Column | str, task: str) -> Column:
+    """A question whose answer critic_check can read, about a sample given as text or JSON."""
+    return _asked(sample, task, _CRITIC)
+
+
 def combined_score(quality: Column | str, severity: Column | str) -> Column:
     """0.6 of the quality and 0.4 of the severity turned round; missing ones count as 0 and 5."""
     q, s = F.coalesce(as_column(quality), F.lit(0.0)), F.coalesce(as_column(severity), F.lit(5.0))

@@ -86,7 +86,7 @@ def sections(text: Column | str) -> Column:
 
 def sentences(text: Column | str, least: int = 10, most: int = 1000) -> Column:
     """Sentences end at . ! or ? before white space; the length limits hold before stripping."""
-    ends = F.split(F.regexp_replace(as_column(text), rf"([.!?]){WS}+", "$1\x01"), "\x01")
+    ends = F.split(as_column(text), rf"(?<=[.!?]){WS}+")
     return F.transform(F.filter(ends, lambda s: F.length(s).between(least, most)), strip)
 
 
@@ -101,7 +101,9 @@ def chunks(text: Column | str, size: int = 1000, overlap: int = 100) -> Column:
     stand still, the next piece starts at the end of the last one.
 
     A fold over as many steps as the text can have pieces; the state is the cursor and the pieces so far. A window's last
-    space is at most the longest word from its end, so each step moves on by size - overlap - longest word at least.
+    space is at most the longest word from its end, so each step moves on by size - overlap - longest word at least; and
+    whatever the words, three steps together move on by size - overlap: a step that stays behind ends at the last space
+    before a long word, the next one starts there or an overlap before it, and the one after that is cut in the word.
     """
     if not 0 <= overlap < size:
         raise ValueError("overlap must be at least 0 and below size")
@@ -124,7 +126,7 @@ def chunks(text: Column | str, size: int = 1000, overlap: int = 100) -> Column:
 
     first = F.struct(F.lit(0).alias("start"), (n <= size).alias("done"), F.when(n <= size, F.array(raw)).otherwise(F.array().cast("array<string>")).alias("out"))
     longest = F.array_max(F.transform(F.split(raw, " "), F.length))
-    steps = F.ceil(n / F.greatest(F.lit(size - overlap) - longest, F.lit(1))).cast("int") + 1
+    steps = F.least(F.ceil(n / F.greatest(F.lit(size - overlap) - longest, F.lit(1))) + 1, 3 * F.ceil(n / F.lit(size - overlap)) + 3).cast("int")
     return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), steps)), first, step, lambda s: s["out"])
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from silkloom.functions import thai
+from silkloom.functions.responses import critic_prompt, generator_prompt
 from silkloom.operators import metrics, validate
 from silkloom.operators.graph import Answer, coverage, empty_graph, expand, key_concepts
 from silkloom.services import ask
@@ -49,9 +50,8 @@ def process_dataset(samples: DataFrame, task: str, key: str = "id", config: Qual
         report: dict = {"validation": {"basic_validation": _row(validate.validate_dataset(samples, task, key))}, "metrics": {}}
         text = next((c for c in ("text", "article", "context") if c in samples.columns), None)
         if config.enable_dual_validation and client and text:
-            prompts = samples.select(key, F.concat(F.lit("Rate this sample. "), F.col(text)).alias("prompt"))
-            generator = ask(prompts, client).select(key, F.col("response").alias("generator_response"))
-            critic = ask(prompts.withColumn("prompt", F.concat(F.lit("Criticise. "), "prompt")), client).select(key, F.col("response").alias("critic_response"))
+            whole = F.to_json(F.struct(*samples.columns))
+            generator, critic = (ask(samples.select(key, prompt(whole, task).alias("prompt")), client).select(key, F.col("response").alias(name)) for prompt, name in ((generator_prompt, "generator_response"), (critic_prompt, "critic_response")))
             scored = validate.dual_validation(generator.join(critic, key))
             report["validation"]["dual_validation"] = _row(validate.dual_advice(validate.overall_scores(scored)))
         if text:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from silkloom.functions import text as txt
 from silkloom.functions import thai
+from silkloom.functions.responses import critic_prompt, generator_prompt
 from silkloom.operators import metrics, similarity, validate
 from silkloom.services import ask
 
@@ -32,8 +33,8 @@ def process_text(docs: DataFrame, text: str = "text", thai_text: bool = False, s
 def validate_sentences(processed: DataFrame, client: Callable[[str], str | None], key: str = "doc_id") -> DataFrame:
     """key, pos, sentence and the two scores of every sentence, by a generator and a critic question."""
     rows = processed.select(key, F.posexplode("sentences").alias("pos", "sentence"))
-    one = ask(rows.withColumn("prompt", F.concat(F.lit("Rate this sentence. "), "sentence")), client).withColumnRenamed("response", "generator_response").drop("prompt", "error")
-    two = ask(one.withColumn("prompt", F.concat(F.lit("Criticise this sentence. "), "sentence")), client).withColumnRenamed("response", "critic_response").drop("prompt", "error")
+    one = ask(rows.withColumn("prompt", generator_prompt("sentence", "sentence validation")), client).withColumnRenamed("response", "generator_response").drop("prompt", "error")
+    two = ask(one.withColumn("prompt", critic_prompt("sentence", "sentence validation")), client).withColumnRenamed("response", "critic_response").drop("prompt", "error")
     return validate.dual_validation(two)
 
 

@@ -384,7 +384,7 @@ def augment_all(spark, sf_dir):
 
 # Sources.
 
-_ENTRY = "select 'feed' || (page_id % 2) as feed, (row_number() over (partition by page_id % 2 order by page_id) - 1)::int as pos, url as title, left(html, 400) as description, url as link from pages"
+_ENTRY = "select 'feed' || (page_id % 2) as feed, (row_number() over (partition by page_id % 2 order by page_id) - 1)::int as pos, url as title, html as description, url as link from pages"
 
 
 @query(f"select feed, pos, title, link from ({_ENTRY}) where pos < 40 and (contains(lower(title), 'th') or contains(lower(description), 'th')) order by feed, pos limit 40")
@@ -393,7 +393,7 @@ def news_filter(spark, sf_dir):
     from pyspark.sql import Window
 
     at = F.row_number().over(Window.partitionBy(F.col("page_id") % 2).orderBy("page_id")) - 1
-    entries = pages.select(F.concat(F.lit("feed"), F.col("page_id") % 2).alias("feed"), at.alias("pos"), F.col("url").alias("title"), F.substring("html", 1, 400).alias("description"), F.col("url").alias("link"))
+    entries = pages.select(F.concat(F.lit("feed"), F.col("page_id") % 2).alias("feed"), at.alias("pos"), F.col("url").alias("title"), F.col("html").alias("description"), F.col("url").alias("link"))
     return remote.filter_entries(entries, "TH", 40).select("feed", "pos", "title", "link")
 
 

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silkloom import services
+from silkloom.functions import responses
 from silkloom.plans import dataset, generation
 from silkloom.sources import files, remote, sinks
 from silkloom.streaming import texts
@@ -137,6 +138,20 @@ def test_generation(spark):
     assert set(generation.TASKS) == {"text_classification", "token_classification", "question_answering", "summarization", "translation"}
 
 
+def obedient(prompt):
+    """Answers with the lines that the prompt asks for, and knows nothing else."""
+    wanted = [line for line in prompt.split("\n") if ": <" in line]
+    return "\n".join(line.split(": <")[0] + ": " + {"0-1>": "0.9", "1-5>": "1", "text>": "x"}[line.split(": <")[1]] for line in wanted)
+
+
+def test_dual_prompts_ask_for_what_is_read(spark):
+    df = spark.createDataFrame([(i, f"a perfectly fine text {i}", f"l{i % 2}") for i in range(4)], "id int, text string, label string")
+    report = dataset.process_dataset(df, "text_classification", client=obedient)
+    assert report["validation"]["dual_validation"]["average_score"] == pytest.approx(0.94)
+    seen = df.select(responses.generator_prompt("text", "qa").alias("g"), responses.critic_prompt(F.to_json(F.struct("text", "label")), "qa").alias("c")).first()
+    assert "fine text 0" in seen.g and '"label":"l0"' in seen.c and "qa" in seen.g and "qa" in seen.c
+
+
 def test_dataset_pipeline_and_tasks(spark, tmp_path):
     df = spark.createDataFrame([(i, f"a perfectly fine text {i}", f"l{i % 2}") for i in range(10)], "id int, text string, label string")
     report = dataset.process_dataset(df, "text_classification", client=client)

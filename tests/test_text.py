@@ -85,3 +85,32 @@ def test_thai(spark):
 
 def test_uniform(spark):
     assert spark.range(1).select(txt.uniform(F.lit(7), F.lit("del"), F.lit(0), F.lit(3))).first()[0] == 0.7051996695809066
+
+
+def plain_chunks(t, size, overlap):
+    if len(t) <= size:
+        return [t]
+    out, start = [], 0
+    while True:
+        end = min(start + size, len(t))
+        if end < len(t):
+            space = t.rfind(" ", start + 1, start + size + 1)
+            end = space if space > start else end
+        out.append(t[start:end].strip())
+        if end >= len(t):
+            return out
+        start = end - overlap if end - overlap > start else end
+
+
+def test_chunks_of_long_words_and_control_characters(spark):
+    import random
+
+    rng = random.Random(3)
+    texts = ["x" * 25, "a " * 30 + "y" * 90 + " b" * 30, "z" * 5000]
+    texts += [" ".join("w" * rng.choice([1, 2, 5, 9, 10, 11, 12, 40]) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for size, overlap in ((10, 2), (10, 9), (12, 5)):
+        got = {r.i: list(r.c) for r in df.select("i", txt.chunks("t", size, overlap).alias("c")).collect()}
+        assert got == {i: plain_chunks(t, size, overlap) for i, t in enumerate(texts)}
+    one = spark.createDataFrame([("a text with \x01 in it. And one more!",)], "t string")
+    assert one.select(txt.sentences("t")).first()[0] == ["a text with \x01 in it.", "And one more!"]
