@@ -240,10 +240,12 @@ def test_pipeline(spark):
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, docs.withColumn("__extra", F.lit(1)).drop("__extra"), DATA).cache()
-        assert out.count() <= docs.count(), name
+        more = docs if k else docs.withColumns({c: F.concat(F.lit(f"{c} of "), "doc_id") for c in ("topic", "weight", "found")})
+        out = stage(spark, more, DATA).cache()
+        assert out.count() <= more.count(), name
+        assert out.where("topic is distinct from 'topic of ' || doc_id or weight is distinct from 'weight of ' || doc_id or found is distinct from 'found of ' || doc_id").count() == 0, name
         if k < len(corpus_pipeline.STAGES) - 1:
-            assert out.columns == docs.columns, name
+            assert out.columns == more.columns, name
         docs = out
     assert docs.count() > 0 and docs.where("n_tokens < 3").count() == 0
     got, again = (corpus_pipeline.run(spark, DATA) for _ in range(2))
