@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from silkloom.llm import embedding_dedup, html_extract, image_copies, language_id, license_scan, sentencepiece_codec, simhash, source_mix, substring_dedup, token_counts
+from silkloom.llm import (
+    bpe_codec, centroid_clusters, conversation_repair, embedding_dedup, html_extract, image_copies, language_id, license_scan, sentencepiece_codec, simhash, source_mix,
+    substring_dedup, token_counts,
+)
 
-PIECES = "piece_bpe_32k.model"
+PIECES, MERGES = "piece_bpe_32k.model", "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).drop("hits")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damage_and_repair(table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(MERGES))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster(table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 #: Every pair of vectors compared, and components by spreading the smallest id along links until nothing changes.
 LINKED = """
 with recursive v as (
@@ -81,9 +96,12 @@ select w.doc_id, len(w)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_image_copies, op2_simhash, op3_source_mix, op4_embedding_dedup, op5_token_counts, op6_language_id, op7_substring_dedup, op8_sentencepiece, op9_html_extract, op10_license_scan]
+    named = [op1_image_copies, op2_simhash, op3_source_mix, op4_embedding_dedup, op5_token_counts, op6_language_id, op7_substring_dedup, op8_sentencepiece, op9_html_extract, op10_license_scan, op11_conversation_repair, op12_bpe, op13_centroid_clusters]
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_source_mix": source_mix.oracle_sql(), "op4_embedding_dedup": LINKED, "op7_substring_dedup": REPEATED}
+    return {
+        "op3_source_mix": source_mix.oracle_sql(), "op4_embedding_dedup": LINKED, "op7_substring_dedup": REPEATED,
+        "op11_conversation_repair": conversation_repair.oracle_sql(), "op13_centroid_clusters": centroid_clusters.oracle_sql(),
+    }
