@@ -8,9 +8,9 @@ token before and marks the place as a dead end. Each place is visited for at mos
 pair is compatible is worked out once from the merges on either side of the border (`joined_at`) and kept in a table.
 Tokens that the merges don't make of their own letters are left out of the automaton.
 
-A text is cut at white space, which the pre-tokeniser drops, and each distinct word of a block of the text is normalised (by
-the file's own normaliser and pre-tokeniser) and encoded once; a worker keeps the words' ids in a table that is emptied when
-it holds TABLE_BYTES. That changes the time but never a result. Strings of added tokens get their ids wherever they stand.
+A text is cut at white space, which the pre-tokeniser drops, and before some marks after a letter; each distinct word of a
+block of the text is normalised and cut into pre-tokens (by the file's own rules), and each distinct pre-token encoded once. A
+worker keeps the ids of both in tables that are emptied when they hold TABLE_BYTES. That changes the time but never a result. Strings of added tokens get their ids wherever they stand.
 Decoding joins the tokens' strings by one space, as a file without a decoder does: a table of all strings with the places
 where they start turns any number of ids into text by one gather.
 
@@ -25,6 +25,7 @@ import functools
 import hashlib
 import json
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -34,10 +35,13 @@ from pyspark.sql import DataFrame
 from silkloom.llm.common import sliced
 
 #: Bytes of words and ids that a worker keeps, characters of a text and ids that are worked on at a time, pairs that are kept.
-TABLE_BYTES, BLOCK, IDS, PAIRS = 64_000_000, 200_000, 500_000, 1_000_000
+TABLE_BYTES, BLOCK, IDS, PAIRS = 200_000_000, 200_000, 500_000, 1_000_000
 #: Unicode's white space.
 SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 SPACE = re.compile(f"[{''.join(map(chr, SPACES))}]+")
+#: Marks that the pre-tokeniser sets apart from a letter before them, so a space there changes nothing: "word" and "word," are
+#: one word of the table.
+MARK = re.compile("(?<=[A-Za-z])[.,;:!?)]")
 #: Added to the code of a letter that ends a pre-token.
 LAST = 0x10000
 NEVER = 1 << 62
@@ -76,6 +80,7 @@ class Merges:
                 self.whole.add(c)
         self.spelled = {i: spelled[i] for i in self.whole}
         self.tokens = {s: i for i, s in self.spelled.items()}
+        self.sizes = {i: len(s) for i, s in self.spelled.items()}
         self.automaton = ahocorasick.Automaton()
         for s, i in self.tokens.items():
             self.automaton.add_word(s, (len(s), i))
@@ -123,6 +128,14 @@ class Merges:
         """Ids of a pre-token, given by its letters."""
         if self.ends:
             word = word[:-1] + chr(LAST + ord(word[-1]))
+        if (token := self.tokens.get(word)) is not None:
+            return [token]
+        # The longest token, then the longest after it, and so on: right as it stands if all neighbours are compatible.
+        found = [token for _, (_, token) in self.automaton.iter_long(word)]
+        size = sum(map(self.sizes.__getitem__, found))
+        return found if size == len(word) and all(map(self.compatible, found, found[1:])) else self._backtracked(word)
+
+    def _backtracked(self, word: str) -> list[int]:
         longest: list[tuple[int, int]] = [(0, 0)] * len(word)
         for last, (size, token) in self.automaton.iter(word):
             longest[last - size + 1] = (size, token)  # matches come by their ends, so the longest of a place comes last
@@ -189,10 +202,15 @@ def check_model(path: str) -> None:
     if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] or SPACE.search(t["content"]) for t in added):
         raise ValueError("an added token that looks across white space")
     tokenizer = Tokenizer.from_file(path)
+    if any(MARK.search(t["content"]) for t in added):
+        raise ValueError("an added token with a mark after a letter")
     letters = Merges(spec).letters
     if {chr(c) for c in range(33, 127)} - set(letters) or len(letters) != 256 * (1 + bool(model["end_of_word_suffix"])):
         raise ValueError("letters are missing")
     doubtful = (*range(1, 33), 0x180E, 0x200B, 0x2060, 0xFEFF, *SPACES)
+    for c in ".,;:!?)":
+        if [w[-1] for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(f"a{c}{c}b")] != ["a", c, "b"]:
+            raise ValueError(f"{c!r} is not set apart")
     for c in map(chr, doubtful):
         cut = len([w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(tokenizer.normalizer.normalize_str(f"a{c}b"))]) == 2 and tokenizer.normalizer.normalize_str(f"a{c}{c}b") == "a b"
         if cut != bool(SPACE.fullmatch(c)):
@@ -217,50 +235,48 @@ class Coder:
         self.strings = OffsetTable([strings.get(i, "") for i in range(size)])
         self.numbers = OffsetTable([str(i) for i in range(size)])
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
         self.held = 0
 
-    def words(self, words: list[str]) -> list[list[int]]:
+    def words(self, words: list[str]) -> list[bytes]:
         """Ids of words without white space and added tokens, normalised and cut together."""
         text = self.normalizer.normalize_str("\n".join(words))
-        starts = np.flatnonzero(np.array([True, *(c == " " for c in text)]))
-        found: list[list[int]] = [[] for _ in words]
-        if len(starts) != len(words):
+        parts = text.split(" ")
+        if len(parts) != len(words):
             raise ValueError("the normaliser makes or drops white space")
-        pieces = self.pre_tokenizer.pre_tokenize_str(text)
-        owner = np.searchsorted(starts, [s for _, (s, _) in pieces], "right") - 1
-        for (letters, _), k in zip(pieces, owner.tolist()):
-            found[k] += self.merges.encode(letters)
-        return found
+        starts = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])])
+        letters, spans = zip(*self.pre_tokenizer.pre_tokenize_str(text))
+        owner = np.searchsorted(starts, [s for s, _ in spans], "right") - 1
+        for new in set(letters).difference(self.pieces):
+            self.pieces[new] = data = array("I", self.merges.encode(new)).tobytes()
+            self.held += len(new) + len(data) + 200
+        found = list(map(self.pieces.__getitem__, letters))
+        cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
+        return [b"".join(found[s:e]) if e - s != 1 else found[s] for s, e in zip(cuts, cuts[1:])]
 
     def fill(self, new: list[str]) -> None:
         """Keep the ids of new words."""
-        plain, split = [], {}
-        for w in new:
-            if self.cuts and (parts := [p for p in self.cuts.split(w) if p]) != [w]:
-                split[w] = parts
-                plain += [p for p in parts if p not in self.added]
-            elif w in self.added:
-                split[w] = [w]
-            else:
-                plain.append(w)
-        plain = sorted(set(plain))
+        plain, split = new, {}
+        if self.cuts and (odd := [w for w in new if self.cuts.search(w)]):
+            split = {w: [p for p in self.cuts.split(w) if p] for w in odd}
+            plain = list({p for parts in split.values() for p in parts if p not in self.added}.union(new).difference(odd))
         coded = dict(zip(plain, self.words(plain))) if plain else {}
-        for w in new:
-            ids = [i for p in split[w] for i in ([self.added[p]] if p in self.added else coded[p])] if w in split else coded[w]
-            self.known[w] = data = np.array(ids, "<u4").tobytes()
-            self.held += len(w) + len(data) + 150
+        for w, parts in split.items():
+            coded[w] = b"".join(array("I", [self.added[p]]).tobytes() if p in self.added else coded[p] for p in parts)
+        self.known |= coded
+        self.held += sum(map(len, coded)) + sum(map(len, coded.values())) + 200 * len(coded)
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text."""
         found = []
         for block in blocks(text or "", BLOCK):
             if self.held > self.table_bytes:
-                self.known, self.held = {}, 0
-            words = [w for w in SPACE.split(block) if w]
-            if new := [w for w in set(words) if w not in self.known]:
+                self.known, self.pieces, self.held = {}, {}, 0
+            words = [w for w in SPACE.split(MARK.sub(r" \g<0>", block)) if w]
+            if new := list(set(words).difference(self.known)):
                 self.fill(new)
             found.append(b"".join(map(self.known.__getitem__, words)))
-        return np.frombuffer(b"".join(found), "<u4").astype(np.int64)
+        return np.frombuffer(b"".join(found), np.uint32).astype(np.int64)
 
     def decode(self, ids: np.ndarray) -> str:
         return b"".join(self.strings.pieces(ids)).decode()
