@@ -61,6 +61,32 @@ def expand(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, answer: Answer,
     return nodes, edges
 
 
+def reach(edges: DataFrame, seeds: DataFrame, max_depth: int, concept: str = "concept") -> DataFrame:
+    """concept, depth: all that is at most max_depth edges (source, target) from a seed, at its least depth; seeds at 0.
+
+    Breadth-first: each level joins the edges to the concepts found last, leaves out by anti-join what is known already, and is
+    stored before the next one reads it. Ends early when a level finds nothing. Null ends and seeds are left out.
+    """
+    ensure_checkpoint_dir(edges.sparkSession)
+    links = edges.select("source", "target").where("source is not null and target is not null and source <> target").distinct().checkpoint()
+    last = seeds.select(F.col(concept).alias("concept")).where("concept is not null").distinct().checkpoint()
+    found = last.withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        near = links.join(last.withColumnRenamed("concept", "source"), "source").select(F.col("target").alias("concept")).distinct()
+        last = near.join(found.select("concept"), "concept", "left_anti").checkpoint()
+        if last.isEmpty():
+            break
+        found = found.unionByName(last.withColumn("depth", F.lit(depth)))
+    return found
+
+
+def concept_edges(texts: DataFrame, text: str = "text", n: int = 3) -> DataFrame:
+    """source, target: each of the first n words of a text and the one after it."""
+    first = first_words(text, n)
+    after = F.arrays_zip(F.slice(first, F.lit(1), F.greatest(F.size(first) - 1, F.lit(0))).alias("source"), F.slice(first, F.lit(2), F.greatest(F.size(first) - 1, F.lit(0))).alias("target"))
+    return texts.select(F.explode(after).alias("e")).select("e.source", "e.target").distinct()
+
+
 def key_concepts(texts: DataFrame, text: str = "text", n: int = 3) -> DataFrame:
     """concept: the distinct first words of the texts."""
     return texts.select(F.explode(first_words(text, n)).alias("concept")).distinct()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from silkloom.functions import responses, thai
 from silkloom.functions import text as txt
-from silkloom.operators import augment, graph, metrics, similarity, validate
+from silkloom.operators import augment, entities, graph, metrics, segment, sentence_ends, similarity, spelling, validate
 from silkloom.plans import documents
 from silkloom.sources import files, remote
 from silkloom.sources.sinks import with_quality
+from silkloom.storage import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -251,6 +253,79 @@ def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", txt.html_text("html").alias("text"))
 
 
+# Learned from the corpus: sentence ends, spelling, words without spaces, names, the graph of concepts.
+
+
+@query(f"with {sentence_ends.abbreviations_sql()} select type, stopped::bigint as stopped, plain::bigint as plain, round(score, 6) as score from abbreviations")
+def sentence_abbreviations(spark, sf_dir):
+    return rounded(sentence_ends.learn(table(spark, sf_dir, "documents")).abbreviations)
+
+
+@query(sentence_ends.sentences_sql())
+def learned_sentences(spark, sf_dir):
+    return sentence_ends.learned_sentences(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB's distance counts bytes: for it, the small letters of the Latin-1 block become single bytes.
+_ONE_BYTE = "translate({}, '" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&(')"
+_ERRORS = "case when length(word) < 3 then 0 when length(word) < 8 then 1 else 2 end"
+
+
+@query(f"""
+with w as (select unnest(regexp_extract_all(lower(text), '[{txt.WORD_CHARS}]+')) as word from documents), c as (select word, count(*) as n from w group by word),
+r as (select word, n, {_ERRORS} as errors from c where n <= 2), f as (select word as known, n as n_known from c where n >= 50),
+p as (select word, n, known, n_known, levenshtein({_ONE_BYTE.format("word")}, {_ONE_BYTE.format("known")}) as distance from r join f on abs(length(word) - length(known)) <= errors where distance <= errors)
+select word, n, known as suggestion, distance::int as distance, n_known as n_suggestion from p qualify row_number() over (partition by word order by distance, n_known desc, known) = 1""")
+def spelling_suggestions(spark, sf_dir):
+    return spelling.suggest(table(spark, sf_dir, "documents"))
+
+
+def _names(spark, sf_dir) -> DataFrame:
+    """Names to look for: the first word and the first two words of each benchmark passage."""
+    first = F.regexp_extract_all("text", F.lit(f"^[{txt.WORD_CHARS}]+|^[{txt.WORD_CHARS}]+ [{txt.WORD_CHARS}]+"), F.lit(0))
+    two = F.regexp_extract("text", f"^[{txt.WORD_CHARS}]+ [{txt.WORD_CHARS}]+", 0)
+    both = F.array(F.struct(F.get(first, 0).alias("name"), F.lit("one").alias("type")), F.struct(two.alias("name"), F.lit("two").alias("type")))
+    return table(spark, sf_dir, "benchmark").select(F.inline(both)).where("name <> ''").distinct()
+
+
+@query(f"""
+with names as (select distinct regexp_extract(text, '^[{txt.WORD_CHARS}]+') as name, 1 as k from benchmark union select distinct regexp_extract(text, '^[{txt.WORD_CHARS}]+ [{txt.WORD_CHARS}]+'), 2 from benchmark),
+p as (select doc_id, regexp_extract_all(text, '[{txt.WORD_CHARS}]+|[^{txt.WORD_CHARS}]+') as p from documents),
+t as (select doc_id, unnest(p) as t, generate_subscripts(p, 1) as i from p),
+q as (select doc_id, i, t, t || lead(t) over w || lead(t, 2) over w as three, sum(length(t)) over w - length(t) as start from t window w as (partition by doc_id order by i)),
+s as (select doc_id, start, start + length(name) as stop from q join names on k = 1 and name = t and name <> '' union all select doc_id, start, start + length(name) from q join names on k = 2 and name = three and name <> ''),
+o as (select *, max(stop) over (partition by doc_id order by start, stop rows between unbounded preceding and 1 preceding) as reached from s),
+c as (select doc_id, count(*) as spans, sum(greatest(0, stop - greatest(start, coalesce(reached, 0)))) as covered from o group by doc_id)
+select d.doc_id, coalesce(spans, 0)::int as spans, round(coalesce(covered / length(text), 0.0), 6) as coverage from documents d left join c on d.doc_id = c.doc_id""")
+def name_coverage(spark, sf_dir):
+    found = entities.find_entities(table(spark, sf_dir, "documents"), _names(spark, sf_dir))
+    return rounded(found.select("doc_id", F.size("entities").alias("spans"), "coverage"))
+
+
+#: Words of the dictionary that the query below segments by: the most frequent ones.
+DICTIONARY = 50_000
+
+
+@query()
+def segmented_words(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    joined = docs.withColumn("text", F.regexp_replace(F.lower("text"), f"{txt.WS}+", ""))
+    found = segment.segment(joined, metrics.top_words(docs, k=DICTIONARY))
+    return found.select("doc_id", F.size("words").alias("words"), "unknown", F.md5(segment.spaced("words")).alias("text_md5"))
+
+
+@query(f"""
+with recursive w as (select ({words_sql('text')})[1:3] as w from documents),
+e as (select distinct source, target from (select unnest(w[:-2]) as source, unnest(w[2:]) as target from w) where source <> target),
+seeds as (select ({words_sql('text')})[1] as concept from documents where doc_id = (select min(doc_id) from documents where len({words_sql('text')}) > 0)),
+r as (select distinct concept, 0 as depth from seeds union select target, depth + 1 from r join e on concept = source where depth < 3)
+select concept, min(depth) as depth from r group by concept""")
+def concept_reach(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    first = docs.where(F.size(txt.tokens("text")) > 0).agg(F.min_by(F.get(txt.tokens("text"), 0), "doc_id").alias("concept"))
+    return graph.reach(graph.concept_edges(docs), first, 3)
+
+
 # Validation.
 
 
@@ -409,17 +484,33 @@ def url_uuids(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", files.url_uuid(F.col("url")).alias("paper_id"))
 
 
-_CONLL = "A DT\nb NN\n\n\nc VB\n  d JJ  \n\nlast NN"
+def _stored(lines: DataFrame, separator: str) -> str:
+    """The path of text files of these lines in the shared folder."""
+    path = f"{ensure_checkpoint_dir(lines.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    lines.write.text(path, lineSep=separator)
+    return path
 
 
-@query("select * from (values (0, 'A DT' || chr(10) || 'b NN'), (1, 'c VB' || chr(10) || 'd JJ'), (2, 'last NN')) t(pos, block)")
+@query(f"""
+with w as (select {words_sql('text')} as w from documents)
+select md5(array_to_string(list_transform(w, lambda x, i: x || ' T' || (i - 1) % 5), chr(10))) as block, len(w)::bigint as n_lines from w where len(w) > 0
+union all select md5('A DT' || chr(10) || 'b NN'), 2 union all select md5('last NN'), 1""")
 def conll_blocks(spark, sf_dir):
-    return spark.createDataFrame([(_CONLL,)], "c string").select(F.posexplode(files.conll_blocks(F.col("c"))).alias("pos", "block"))
+    """Documents written as CoNLL files, a word a line, and read back; two blocks more with stray blanks."""
+    tagged = F.transform(txt.tokens("text"), lambda w, i: F.concat(w, F.lit(" T"), (i % 5).cast("string")))
+    lines = table(spark, sf_dir, "documents").select(F.array_join(tagged, "\n").alias("value"))
+    lines = lines.union(spark.createDataFrame([("\n \nA DT \n  b NN\n\t\nlast NN",)], "value string"))
+    read = files.load_text(spark, _stored(lines, "\n\n"), "conll")
+    return read.select(F.md5("text").alias("block"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
-@query("select * from (values (0, 0, 'a'), (0, 1, '1'), (0, 2, '{\"k\":2}'), (1, 0, 'x'), (1, 1, 'true'), (2, 0, '7')) t(id, pos, item)")
+@query("""
+select conv_id || '-' || turn as id, unnest([0, 1, 2]) as pos, unnest([role, turn::varchar, '{"k":' || conv_id || '}']) as item from conversations
+union all select * from (values ('a', 0, 'a'), ('a', 1, '1'), ('a', 2, '{"k":2}'), ('b', 0, 'x'), ('b', 1, 'true'), ('c', 0, '7')) t(id, pos, item)""")
 def json_items(spark, sf_dir):
-    rows = spark.createDataFrame([(0, '["a", 1, {"k": 2}]'), (1, '{"p": "x", "q": true}'), (2, "7"), (3, "not json")], "id int, c string")
+    rows = spark.createDataFrame([("a", '["a", 1, {"k": 2}]'), ("b", '{"p": "x", "q": true}'), ("c", "7"), ("d", "not json")], "id string, c string")
+    said = F.format_string('["%s", %d, {"k": %d}]', "role", "turn", "conv_id")
+    rows = rows.union(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn"), said))
     return rows.select("id", F.posexplode(files.json_items(F.col("c"))).alias("pos", "item"))
 
 
@@ -429,17 +520,29 @@ def quality_columns(spark, sf_dir):
     return with_quality(table(spark, sf_dir, "documents").select("doc_id", "text", split.alias("split")), {"score": 0.9, "none": None})
 
 
-# Thai text, entities and model answers, on rows given here.
+# Thai text, entities and model answers: rows given here, and rows that Spark derives from whole tables, which hold no Thai.
 
 THAI = {1: "ค่า น้ำ ตา", 2: "ก่้๊ข", 3: "คุณ ครับ ดี มาก", 4: "ประเทษ ของ เรา เสรจ แล้ว", 5: "ดี ๆ ใช้Sparkดี !", 6: "ก่อน​ ๑๒ ทำ", 7: "", 8: "plain words only"}
 
 
+#: Words and letters that turn the documents into Thai letters, tone marks and markers.
+_WORDS = {" the ": " ครับ ", " and ": " คุณ ", " of ": " ท่าน ", " de ": " ไหม ", " la ": " เสรจ ", " der ": " ประเทษ ", " die ": " จ้า ", " et ": " นะคะ "}
+_LATIN, _LETTERS = "abcdefghijklmnopqrstuvwxyz", "าบคด่ฟงหิจ๋ลมน้ปำรสกุ๊วๆย๑"
+
+
 def _values(rows: dict[int, str]) -> str:
-    return "(values " + ", ".join(f"({k}, '{v}')" for k, v in rows.items()) + ") t(id, text)"
+    said = "text"
+    for a, b in _WORDS.items():
+        said = f"replace({said}, '{a}', '{b}')"
+    return "(select * from (values " + ", ".join(f"({k}, '{v}')" for k, v in rows.items()) + f") union all select -1 - doc_id, translate({said}, '{_LATIN}', '{_LETTERS}') from documents) t(id, text)"
 
 
-def _thai(spark) -> DataFrame:
-    return spark.createDataFrame(list(THAI.items()), "id int, text string")
+def _thai(spark, sf_dir) -> DataFrame:
+    said = F.col("text")
+    for a, b in _WORDS.items():
+        said = F.replace(said, F.lit(a), F.lit(b))
+    derived = table(spark, sf_dir, "documents").select((-1 - F.col("doc_id")).alias("id"), F.translate(said, _LATIN, _LETTERS).alias("text"))
+    return spark.createDataFrame(list(THAI.items()), "id long, text string").union(derived)
 
 
 def _count(c: str) -> str:
@@ -458,17 +561,17 @@ _N = f"len({words_sql('text')})"
   {", ".join(f"round(case when {_N} > 0 then {_count(t)} / {_N} else 0.0 end, 6) as tone_{i}_ratio" for i, t in enumerate(thai.TONES, 1))},
   round(case when {_N} > 0 then 4 / {_N} else 0.0 end, 6) as tonal_complexity_score from {_values(THAI)}""")
 def thai_tonal(spark, sf_dir):
-    return rounded(_thai(spark).select("id", thai.tonal_metrics("text").alias("s")).select("id", "s.*"))
+    return rounded(_thai(spark, sf_dir).select("id", thai.tonal_metrics("text").alias("s")).select("id", "s.*"))
 
 
 _WRONG = [(v, c) for c, vs in thai.MISSPELLINGS.items() for v in vs]
 
 
 @query(f"""select id, array_to_string(list_filter([{", ".join(f"case when contains(text, '{v}') then '{v}>{c}' end" for v, c in _WRONG)}], lambda x: x is not null), ',') as misspellings,
-  len(list_filter(range(1, length(text)::bigint), lambda i: regexp_matches(substr(text, i, 2), '^[{"".join(thai.TONES)}][{"".join(thai.TONES)}]$')))::bigint as double_tones,
+  coalesce(list_sum(list_transform(regexp_extract_all(text, '[{"".join(thai.TONES)}]{{2,}}'), lambda r: length(r) - 1)), 0)::bigint as double_tones,
   round(case when text = '' then 1.0 else 1 - ({_markers(tuple(v for v, _ in _WRONG))}) / nullif({_N}, 0) end, 6) as orthographic_score from {_values(THAI)}""")
 def thai_orthography(spark, sf_dir):
-    rows = _thai(spark).select("id", thai.orthography("text").alias("s"))
+    rows = _thai(spark, sf_dir).select("id", thai.orthography("text").alias("s"))
     said = F.array_join(F.transform("s.misspellings", lambda m: F.concat_ws(">", m["incorrect"], m["correct"])), ",")
     return rounded(rows.select("id", said.alias("misspellings"), F.size("s.double_tone_instances").cast("long").alias("double_tones"), "s.orthographic_score"))
 
@@ -479,64 +582,105 @@ _ALL_MARKERS = " + ".join(_markers(ms) for ms in thai.FORMALITY.values())
 @query(f"""select id, {", ".join(f"{_markers(ms)} as {c}" for c, ms in thai.FORMALITY.items())}, round(case when {_N} > 0 then ({_ALL_MARKERS}) / {_N} else 0.0 end, 6) as formality_score,
   round(case when {_N} > 0 then ({_ALL_MARKERS}) / {_N} else 0.0 end, 6) as formal_word_ratio from {_values(THAI)}""")
 def thai_formality(spark, sf_dir):
-    return rounded(_thai(spark).select("id", thai.formality("text").alias("s")).select("id", "s.*"))
+    return rounded(_thai(spark, sf_dir).select("id", thai.formality("text").alias("s")).select("id", "s.*"))
 
 
 @query(f"""select {", ".join(f"count(*) filter ({_markers(ms)} > 0) as {s}_count" for s, ms in thai.STYLES.items())},
   {", ".join(f"round(count(*) filter ({_markers(ms)} > 0) / count(*), 6) as {s}_ratio" for s, ms in thai.STYLES.items())}, round(count(distinct text) / count(*), 6) as semantic_diversity_score from {_values(THAI)}""")
 def thai_clusters(spark, sf_dir):
-    return rounded(metrics.style_clusters(_thai(spark)))
+    return rounded(metrics.style_clusters(_thai(spark, sf_dir)))
 
 
 @query(rf"""select id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '({txt.NOT_WS}) ๆ', '\1ๆ', 'g'), ' ([.,!?])', '\1', 'g'), '([ก-๙])([a-zA-Z])', '\1 \2', 'g'), '([a-zA-Z])([ก-๙])', '\1 \2', 'g'), '^{txt.WS}+|{txt.WS}+$', '', 'g') as fixed,
   replace(translate(text, '{thai.THAI_DIGITS}' || chr(8203) || chr(8288) || chr(65279), '0123456789'), chr(3635), chr(3632) || chr(3632)) as normal from {_values(THAI)}""")
 def thai_fixups(spark, sf_dir):
-    return _thai(spark).select("id", thai.fix_common_errors("text").alias("fixed"), thai.fix_unicode("text").alias("normal"))
+    return _thai(spark, sf_dir).select("id", thai.fix_common_errors("text").alias("fixed"), thai.fix_unicode("text").alias("normal"))
 
 
 _SPANS = {1: (10, [(0, 3), (2, 5), (8, 12)]), 2: (4, []), 3: (6, [(1, 6), (0, 1)]), 4: (5, [(3, 3), (-1, 2)])}
 
 
-@query("select * from (values (1, 0.5), (2, 0.0), (3, 1.0), (4, 0.0)) t(id, coverage)")
+@query("""
+select * from (values ('1', 0.5::double), ('2', 0.0), ('3', 1.0), ('4', 0.0)) t(id, coverage)
+union all select conv_id || '-' || turn, round(case when length(text) = 0 then 0.0 when length(text) < 4 then least(turn + 1, length(text)) / length(text) else least(turn + 1 + 3, length(text)) / length(text) end, 6) from conversations""")
 def entity_coverage(spark, sf_dir):
-    rows = spark.createDataFrame([(i, n, [(s, e) for s, e in spans]) for i, (n, spans) in _SPANS.items()], "id int, n int, entities array<struct<start:int,end:int>>")
-    return rows.select("id", metrics.entity_coverage(F.col("entities"), F.col("n")).cast("decimal(2,1)").alias("coverage"))
+    """Spans given here; and of each turn the first turn + 1 characters, and from there three more, found twice."""
+    rows = spark.createDataFrame([(str(i), n, [(s, e) for s, e in spans]) for i, (n, spans) in _SPANS.items()], "id string, n int, entities array<struct<start:int,end:int>>")
+    n, at = F.length("text"), (F.col("turn") + 1).cast("int")
+    span = lambda a, b: F.struct(a.alias("start"), F.least(b, n).alias("end"))
+    three = F.when(n >= 4, F.array(span(at, at + 3), span(at - 1, at + 2))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    rows = rows.union(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn"), n, F.concat(F.array(span(F.lit(0), at)), three)))
+    return rounded(rows.select("id", metrics.entity_coverage(F.col("entities"), F.col("n")).alias("coverage")))
 
 
 _ANSWERS = {1: ("คะแนน: 0.9\nคะแนน: x\nควรปรับปรุง ภาษา", "ความรุนแรง: 2\nปัญหา: สั้น"), 2: (None, None), 3: ("no score", "ความรุนแรง: 4"), 4: ("คะแนน: 0.95", "ความรุนแรง: 1")}
+_SAID = "select conv_id || '-' || turn as id, (turn % 10) / 10 as quality, (conv_id % 5 + 1)::double as severity from conversations"
+_SCORES = f"""select * from (values ('1', 0.84::double, 0.9::double, 2.0::double, 'ควรปรับปรุง ภาษา', 'ปัญหา: สั้น', false), ('2', 0.0, 0.0, 5.0, '', '', true), ('3', 0.1, 0.0, 4.0, '', '', true), ('4', 0.97, 0.95, 1.0, '', '', false)) t(id, score, quality, severity, suggestions, issues, needs_revision)
+union all select id, round(0.6 * quality + 0.4 * (1 - (severity - 1) / 4), 6), quality, severity, 'แนะนำ: ' || id, 'ปัญหา: ' || id, 0.6 * quality + 0.4 * (1 - (severity - 1) / 4) < {validate.REVISION_BELOW} from ({_SAID})"""
+
+
+def _answers(spark, sf_dir) -> DataFrame:
+    """Answers given here, and one for each turn with scores made of its numbers."""
+    rows = spark.createDataFrame([(str(i), g, c) for i, (g, c) in _ANSWERS.items()], "id string, generator_response string, critic_response string")
+    key = F.concat_ws("-", "conv_id", "turn")
+    good = F.concat(F.lit("คะแนน: 0."), (F.col("turn") % 10).cast("string"), F.lit("\nแนะนำ: "), key)
+    bad = F.concat(F.lit("ความรุนแรง: "), (F.col("conv_id") % 5 + 1).cast("string"), F.lit("\n ปัญหา: "), key)
+    return rows.union(table(spark, sf_dir, "conversations").select(key, good, bad))
 
 
-@query("select * from (values (1, 0.84, 0.9, 2.0, 'ควรปรับปรุง ภาษา', 'ปัญหา: สั้น', false), (2, 0.0, 0.0, 5.0, '', '', true), (3, 0.1, 0.0, 4.0, '', '', true), (4, 0.97, 0.95, 1.0, '', '', false)) t(id, score, quality, severity, suggestions, issues, needs_revision)")
+@query(_SCORES)
 def dual_scores(spark, sf_dir):
-    rows = spark.createDataFrame([(i, g, c) for i, (g, c) in _ANSWERS.items()], "id int, generator_response string, critic_response string")
-    d = validate.dual_validation(rows)
-    return d.select("id", F.col("combined_score").cast("decimal(3,2)").alias("score"), F.col("quality_score").cast("decimal(3,2)").alias("quality"), F.col("severity_score").cast("decimal(2,1)").alias("severity"), F.array_join("suggestions", ";").alias("suggestions"), F.array_join("issues", ";").alias("issues"), "needs_revision")
+    d = validate.dual_validation(_answers(spark, sf_dir))
+    return rounded(d.select("id", F.col("combined_score").alias("score"), F.col("quality_score").alias("quality"), F.col("severity_score").alias("severity"), F.array_join("suggestions", ";").alias("suggestions"), F.array_join("issues", ";").alias("issues"), "needs_revision"))
 
 
-@query("select 0.4775::double as average_score, 0.0::double as min_score, 0.97::double as max_score, round(stddev_pop(x), 6) as std_score, 2::bigint as samples_needing_revision, 0.5::double as revision_ratio from (values (0.84), (0.0), (0.1), (0.97)) t(x)")
+@query(f"""
+with s as ({_SCORES})
+select round(avg(score), 6) as average_score, min(score) as min_score, max(score) as max_score, round(stddev_pop(score), 6) as std_score, count(*) filter (needs_revision) as samples_needing_revision, round(count(*) filter (needs_revision) / count(*), 6) as revision_ratio from s""")
 def overall_scores(spark, sf_dir):
-    rows = spark.createDataFrame([(g, c) for g, c in _ANSWERS.values()], "generator_response string, critic_response string")
-    return rounded(validate.overall_scores(validate.dual_validation(rows)))
+    return rounded(validate.overall_scores(validate.dual_validation(_answers(spark, sf_dir))))
 
 
-@query("""select * from (values (1, '{"a": 1}'), (2, '{"b": {"c": 2}}'), (3, '{}'), (4, '{}'), (5, '{}')) t(id, json)""")
+@query("""
+select * from (values ('1', '{"a": 1}'), ('2', '{"b": {"c": 2}}'), ('3', '{}'), ('4', '{}'), ('5', '{}')) t(id, json)
+union all select conv_id || '-' || turn, case turn % 3 when 0 then '{"turn": ' || turn || '}' when 1 then '{"role": {"is": "' || role || '"}}' else '{}' end from conversations""")
 def parse_json(spark, sf_dir):
-    said = {1: 'text ```json\n{"a": 1}\n``` more {"z": 0}', 2: 'so: {"b": {"c": 2}} end', 3: "none", 4: "{broken", 5: "{not: json}"}
-    return spark.createDataFrame(list(said.items()), "id int, r string").select("id", responses.json_part("r").alias("json"))
+    said = {"1": 'text ```json\n{"a": 1}\n``` more {"z": 0}', "2": 'so: {"b": {"c": 2}} end', "3": "none", "4": "{broken", "5": "{not: json}"}
+    fenced = F.format_string('```json\n{"turn": %d}\n```\n{', "turn")
+    bare = F.format_string('sure: {"role": {"is": "%s"}} ', "role")
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn"), F.concat(F.translate("text", "{}", ""), F.lit("\n"), F.when(F.col("turn") % 3 == 0, fenced).when(F.col("turn") % 3 == 1, bare).otherwise("{none")))
+    return spark.createDataFrame(list(said.items()), "id string, r string").union(turns).select("id", responses.json_part("r").alias("json"))
 
 
-@query("select * from (values (0, 'is_a', 'animal'), (1, 'is_a', 'pet: small'), (2, 'part_of', 'household')) t(pos, type, concept)")
+@query("""
+select * from (values ('a', 0, 'is_a', 'animal'), ('a', 1, 'is_a', 'pet: small'), ('a', 2, 'part_of', 'household')) t(id, pos, type, concept)
+union all select conv_id || '-' || turn, unnest([0, 1]), unnest(['part_of', 'related_to']), unnest(['conversation ' || conv_id, role]) from conversations""")
 def relations(spark, sf_dir):
     said = "intro: ignored\nis_a: animal\n - another: pet: small\n\nPART_OF: household\nno colon"
-    rows = spark.createDataFrame([(said,)], "r string").select(F.posexplode(responses.relations("r")).alias("pos", "x"))
-    return rows.select("pos", "x.type", "x.concept")
+    rows = spark.createDataFrame([("a", said)], "id string, r string")
+    rows = rows.union(table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn"), F.format_string("Part_of: conversation %d\nnothing\n  related_to:%s ", "conv_id", "role")))
+    return rows.select("id", F.posexplode(responses.relations("r")).alias("pos", "x")).select("id", "pos", "x.type", "x.concept")
+
+
+_TYPE = "['is_a', 'part_of', 'has_property', 'related_to', 'similar_to', 'opposite_of', 'unknown'][1 + length(source || target) % 7]"
 
 
-@query("select 4::bigint as total_nodes, 3::bigint as total_relations, 2::bigint as total_examples, 2::bigint as is_a, 1::bigint as part_of, 0::bigint as has_property, 0::bigint as related_to, 0::bigint as similar_to, 0::bigint as opposite_of, 0.75::double as average_relations_per_node, 0.5::double as average_examples_per_node")
+@query(f"""
+with w as (select ({words_sql('text')})[1:3] as w from documents),
+p as (select unnest(w[:-2]) as source, unnest(w[2:]) as target from w),
+n as (select distinct concept from (select unnest(w) as concept from w)),
+e as (select distinct source, target, {_TYPE} as type from p), k as (select * from e where type <> 'unknown'),
+c as (select (select count(*) from n) as nodes, (select sum(length(concept) % 3) from n) as examples, count(*) as edges, {", ".join(f"count(*) filter (type = '{r}') as {r}" for r in responses.RELATIONS)} from k)
+select nodes as total_nodes, edges as total_relations, examples::bigint as total_examples, {", ".join(responses.RELATIONS)}, round(edges / nodes, 6) as average_relations_per_node, round(examples / nodes, 6) as average_examples_per_node from c""")
 def graph_coverage(spark, sf_dir):
-    nodes = spark.createDataFrame([("a", 0, ["x", "y"], None), ("b", 1, [], None), ("c", 1, None, None), ("d", 2, [], None)], graph.NODES)
-    new = spark.createDataFrame([("a", "b", "is_a"), ("a", "b", "is_a"), ("a", "c", "part_of"), ("b", "d", "is_a"), ("a", "nowhere", "is_a"), ("a", "d", "unknown")], graph.EDGES)
-    return graph.coverage(nodes, graph.add_edges(nodes, spark.createDataFrame([], graph.EDGES), new))
+    """The graph of the documents' first words: typed edges added, those of unknown type or without nodes dropped, counted."""
+    docs = table(spark, sf_dir, "documents")
+    examples = F.slice(F.array(F.lit("x"), F.lit("y")), F.lit(1), F.length("concept") % 3)
+    nodes = graph.key_concepts(docs).select("concept", F.lit(0).alias("depth"), examples.alias("examples"), F.create_map().cast("map<string,string>").alias("metadata"))
+    kinds = F.array(*map(F.lit, (*responses.RELATIONS, "unknown")))
+    new = graph.concept_edges(docs).withColumn("type", F.get(kinds, F.length(F.concat("source", "target")) % 7))
+    stray = spark.createDataFrame([("no such\n", "node\n", "is_a")], graph.EDGES)
+    return rounded(graph.coverage(nodes, graph.add_edges(nodes, spark.createDataFrame([], graph.EDGES), new.union(stray))))
 
 
 @query(f"""

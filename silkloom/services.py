@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from silkloom.cache import AnswerCache
 from silkloom.functions.responses import json_part, message_content
 from silkloom.storage import ensure_checkpoint_dir
 
@@ -169,6 +170,16 @@ def ask_cached(prompts: DataFrame, client: Callable[[str], str | None], cache: D
     return keyed.join(told, "key").drop("key"), upsert(cache, new)
 
 
+def ask_through(prompts: DataFrame, client: Callable[[str], str | None], cache: AnswerCache, service: str, model: str, prompt: str = "prompt") -> DataFrame:
+    """prompts with response and error; what a bucketed cache holds is not asked, and new answers are kept there."""
+
+    def asked(rows: DataFrame) -> DataFrame:
+        told = ask(rows.select("key", prompt), client, prompt)
+        return told.select("key", F.col("response").alias("value"), "error")
+
+    return cache.through(prompts, asked, cache_key(service, model, F.col(prompt))).withColumnRenamed("value", "response")
+
+
 def parse_samples(answers: DataFrame, schema: str, required: tuple[str, ...], response: str = "response") -> DataFrame:
     """answers with sample, the JSON of the response read by schema, and error where it is missing or incomplete."""
     read = answers.withColumn("sample", F.from_json(json_part(response), schema))

@@ -5,17 +5,18 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable
+from dataclasses import dataclass
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from silkloom.functions.text import strip, tokens
 from silkloom.operators.augment import sample_rows
 from silkloom.operators.metrics import corpus_metadata
 
-FORMATS = ("plain", "conll", "json")
 DATA_TYPE = "text"
 
 
@@ -41,17 +42,92 @@ def json_items(content: Column) -> Column:
     return F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
 
 
+def plain_lines(content: Column) -> Column:
+    """The lines of a text that aren't blank, stripped."""
+    return F.filter(F.transform(F.split(content, "\r\n|\r|\n"), strip), lambda x: x != "")
+
+
+@dataclass(frozen=True)
+class TextFormat:
+    """How samples lie in a file: `pieces` turns a unit of it into an array of samples. The unit is a line, a block (lines
+    between blank ones) or the whole file. Files of lines and blocks are split among tasks, whatever their size."""
+
+    pieces: Callable[[Column], Column]
+    unit: str = "file"
+
+
+#: Known formats by name; `register` adds to them.
+FORMATS: dict[str, TextFormat] = {"plain": TextFormat(plain_lines, "line"), "conll": TextFormat(conll_blocks, "block"), "json": TextFormat(json_items)}
+
+
+def register(name: str, format: TextFormat) -> None:
+    """Let `load_text` read files of a caller's format."""
+    if format.unit not in ("line", "block", "file"):
+        raise ValueError(f"unknown unit: {format.unit}")
+    FORMATS[name] = format
+
+
+_EDGE_HEAD, _EDGE_TAIL, _EDGE_ALL = 1, 2, 3
+
+
+def _cut_at_blanks(batches):
+    """Blocks of each split's lines. What lies before the first blank line and after the last one may go on in the splits beside
+    it and is marked; a split without a blank line is one such edge."""
+
+    def rows(found):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["path", "start", "edge", "block"])
+
+    split, lines, cut = None, [], False
+
+    def last():
+        return [(*split, _EDGE_TAIL if cut else _EDGE_ALL, "\n".join(lines))] if split else []
+
+    for b in batches:
+        found = []
+        for path, start, line in zip(*(b.column(c).to_pylist() for c in ("path", "start", "value"))):
+            if (path, start) != split:
+                found += last()
+                split, lines, cut = (path, start), [], False
+            if line.strip():
+                lines.append(line)
+            elif lines or not cut:
+                found.append((path, start, 0 if cut else _EDGE_HEAD, "\n".join(lines)))
+                lines, cut = [], True
+        yield rows(found)
+    yield rows(last())
+
+
+def read_blocks(spark: SparkSession, path: str) -> DataFrame:
+    """c: the blocks of lines between blank ones, of UTF-8 files that are split among tasks at any byte.
+
+    A split gives its inner blocks as they are. The edges of a file's splits, two short rows each, are put together in order:
+    a tail, splits without a blank line, and the head that ends them. The files are read twice, once for either.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
+    cut = lines.mapInArrow(_cut_at_blanks, "path string, start long, edge int, block string")
+    order = Window.partitionBy("path").orderBy("start", "edge")
+    edges = cut.where("edge > 0").withColumn("nth", F.sum(F.when(F.col("edge") == _EDGE_TAIL, 1).otherwise(0)).over(order))
+    joined = edges.groupBy("path", "nth").agg(F.array_sort(F.collect_list(F.struct("start", "edge", "block"))).alias("e"))
+    whole = joined.select(F.array_join(F.filter(F.transform("e", lambda x: x["block"]), lambda x: x != ""), "\n").alias("c"))
+    return cut.where("edge = 0").select(F.col("block").alias("c")).unionByName(whole).where("c <> ''")
+
+
 def load_text(spark: SparkSession, path: str, format: str = "plain", encoding: str = "utf-8") -> DataFrame:
-    """text: one row a sample. Raises FileNotFoundError and ValueError for a missing path and an unknown format."""
+    """text: one row a sample. Raises FileNotFoundError and ValueError for a missing path and an unknown format.
+
+    UTF-8 files of lines or blocks give the same rows whether one task reads them or fifty. Files in other encodings, and
+    formats whose unit is the file, are read whole.
+    """
     if format not in FORMATS:
         raise ValueError(f"unsupported format: {format}")
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    if format == "plain" and encoding.lower().replace("-", "") == "utf8":
-        return spark.read.text(path).select(strip("value").alias("text")).where("text <> ''")
-    whole = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("c"))
-    pieces = {"plain": F.filter(F.transform(F.split("c", "\r\n|\r|\n"), strip), lambda x: x != ""), "conll": conll_blocks(F.col("c")), "json": json_items(F.col("c"))}
-    return whole.select(F.explode(pieces[format]).alias("text"))
+    how = FORMATS[format]
+    if how.unit == "file" or encoding.lower().replace("-", "") != "utf8":
+        units = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("c"))
+    else:
+        units = read_blocks(spark, path) if how.unit == "block" else spark.read.text(path).select(F.col("value").alias("c"))
+    return units.select(F.explode(how.pieces(F.col("c"))).alias("text"))
 
 
 def validate(samples: DataFrame, format: str = "plain", text: str = "text") -> DataFrame:

@@ -1,7 +1,8 @@
 """Sources on the network, behind a replaceable fetcher: encyclopedia, news feeds, papers.
 
 A fetcher is a picklable callable (url, params) -> text or bytes; the default asks the network from the executors,
-with a pause between requests of a partition. Failures are rows with an error.
+with a pause between requests of a partition. Failures are rows with an error. With an `AnswerCache`, searches are kept by
+query and limit, pages and papers by their id or address, and are not asked for again.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silkloom.cache import AnswerCache
 from silkloom.functions.text import html_text, strip_search_tags
 
 Fetch = Callable[[str, dict], "str | bytes"]
@@ -31,8 +33,9 @@ def fetch(url: str, params: dict, timeout: float = 30.0) -> bytes:
         return answer.read()
 
 
-def _asked(requests: DataFrame, key: str, call: Callable[[str], object], schema: str, pause: float) -> DataFrame:
-    """For each key, the JSON of call(key) or an error."""
+def _asked(requests: DataFrame, key: str, call: Callable[[str], object], schema: str, pause: float, cache: AnswerCache | None = None, kind: str = "") -> DataFrame:
+    """For each key, the JSON of call(key) or an error. With a cache only the keys are asked that it does not hold under this
+    kind of request, and their answers are kept, so that a fetch which broke off goes on where it stopped."""
 
     def run(batches):
         for pdf in batches:
@@ -46,15 +49,28 @@ def _asked(requests: DataFrame, key: str, call: Callable[[str], object], schema:
                     out.append((k, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(out, columns=[key, "answer", "error"])
 
-    told = requests.select(F.col(key).cast("string").alias(key)).mapInPandas(run, f"{key} string, answer string, error string")
-    return told.select(key, F.from_json("answer", schema).alias("a"), "error")
+    chosen = requests.select(F.col(key).cast("string").alias(key))
+    if cache is None:
+        told = chosen.mapInPandas(run, f"{key} string, answer string, error string")
+        return told.select(key, F.from_json("answer", schema).alias("a"), "error")
+
+    def ask(rows: DataFrame) -> DataFrame:
+        told = rows.select(key).mapInPandas(run, f"{key} string, answer string, error string")
+        return told.select(_request(kind, F.col(key)).alias("key"), F.col("answer").alias("value"), "error")
+
+    told = cache.through(chosen, ask, _request(kind, F.col(key)))
+    return told.select(key, F.from_json("value", schema).alias("a"), "error")
+
+
+def _request(kind: str, key: Column) -> Column:
+    return F.concat_ws(":", F.lit(kind), F.coalesce(key, F.lit("")))
 
 
 class WikipediaSource:
     """Search and text of an encyclopedia through the MediaWiki API."""
 
-    def __init__(self, language: str = "th", get: Fetch = fetch, pause: float = 1.0):
-        self.url, self.language, self.get, self.pause = f"https://{language}.wikipedia.org/w/api.php", language, get, pause
+    def __init__(self, language: str = "th", get: Fetch = fetch, pause: float = 1.0, cache: AnswerCache | None = None):
+        self.url, self.language, self.get, self.pause, self.cache = f"https://{language}.wikipedia.org/w/api.php", language, get, pause, cache
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         """query, page_id, title, snippet (without its tags), error."""
@@ -63,7 +79,7 @@ class WikipediaSource:
         def call(q: str) -> object:
             return json.loads(get(url, {"action": "query", "list": "search", "srsearch": q, "srlimit": limit, "format": "json"}))
 
-        found = _asked(queries, "query", call, "query struct<search:array<struct<pageid:bigint,title:string,snippet:string>>>", self.pause)
+        found = _asked(queries, "query", call, "query struct<search:array<struct<pageid:bigint,title:string,snippet:string>>>", self.pause, self.cache, f"{self.url}|search|{limit}")
         rows = found.select("query", "error", F.explode_outer("a.query.search").alias("r"))
         return rows.select("query", F.col("r.pageid").alias("page_id"), "r.title", strip_search_tags("r.snippet").alias("snippet"), "error")
 
@@ -74,7 +90,7 @@ class WikipediaSource:
         def call(page: str) -> object:
             return json.loads(get(url, {"action": "query", "prop": "extracts", "explaintext": 1, "pageids": page, "format": "json"}))
 
-        found = _asked(pages, "page_id", call, "query struct<pages:map<string,struct<extract:string>>>", self.pause)
+        found = _asked(pages, "page_id", call, "query struct<pages:map<string,struct<extract:string>>>", self.pause, self.cache, f"{self.url}|page")
         return found.select("page_id", F.get(F.map_values("a.query.pages"), 0)["extract"].alias("text"), "error")
 
     def documents(self, queries: DataFrame, limit: int = 10) -> DataFrame:
@@ -99,8 +115,8 @@ def news_id(link: Column) -> Column:
 class NewsSource:
     """News from RSS feeds: name -> address."""
 
-    def __init__(self, feeds: dict[str, str], get: Fetch = fetch, pause: float = 0.0):
-        self.feeds, self.get, self.pause = dict(feeds), get, pause
+    def __init__(self, feeds: dict[str, str], get: Fetch = fetch, pause: float = 0.0, cache: AnswerCache | None = None):
+        self.feeds, self.get, self.pause, self.cache = dict(feeds), get, pause, cache
 
     def entries(self, spark: SparkSession) -> DataFrame:
         feeds, get = self.feeds, self.get
@@ -126,7 +142,7 @@ class NewsSource:
             return {"html": body.decode("utf-8", "replace") if isinstance(body, bytes) else body}
 
         hits = self.search(spark, query, limit)
-        read = _asked(hits.select("link").distinct(), "link", call, "html string", self.pause).where("error is null")
+        read = _asked(hits.select("link").distinct(), "link", call, "html string", self.pause, self.cache, "news").where("error is null")
         joined = hits.join(read.select("link", html_text("a.html").alias("text")), "link").where("text <> ''")
         return joined.select(news_id(F.col("link")).alias("paper_id"), "title", "text", F.concat_ws("_", "feed", "published").alias("source"))
 
@@ -140,8 +156,8 @@ class ArxivSource:
 
     SCHEMA = "array<struct<title:string,authors:array<string>,summary:string,pdf_url:string,published:string,paper_id:string>>"
 
-    def __init__(self, get: Fetch = fetch, pause: float = 3.0):
-        self.url, self.get, self.pause = "http://export.arxiv.org/api/query", get, pause
+    def __init__(self, get: Fetch = fetch, pause: float = 3.0, cache: AnswerCache | None = None):
+        self.url, self.get, self.pause, self.cache = "http://export.arxiv.org/api/query", get, pause, cache
 
     def search(self, queries: DataFrame, limit: int = 10) -> DataFrame:
         url, get = self.url, self.get
@@ -156,19 +172,20 @@ class ArxivSource:
                 rows.append({"title": re.sub(r"\s+", " ", e.findtext(f"{a}title") or ""), "authors": [x.findtext(f"{a}name") for x in e.iter(f"{a}author")], "summary": e.findtext(f"{a}summary"), "pdf_url": pdf, "published": e.findtext(f"{a}published"), "paper_id": name})
             return rows
 
-        found = _asked(queries, "query", call, self.SCHEMA, self.pause)
+        found = _asked(queries, "query", call, self.SCHEMA, self.pause, self.cache, f"{self.url}|{limit}")
         return found.select("query", F.explode("a").alias("p"), "error").select("query", "p.*", "error").withColumn("published", F.col("published").try_cast("timestamp"))
 
     def documents(self, queries: DataFrame, parse: Callable[[bytes], str], limit: int = 10) -> DataFrame:
-        """Metadata with text; a PDF that cannot be read has an empty text."""
+        """Metadata with text; a PDF that cannot be fetched or read has an empty text. One that could not be fetched is not kept."""
         get = self.get
 
         def call(link: str) -> object:
+            data = get(link, {})
             try:
-                return {"text": parse(get(link, {}))}
+                return {"text": parse(data)}
             except Exception:  # noqa: BLE001  no text is the defined result
                 return {"text": ""}
 
         papers = self.search(queries, limit).where("pdf_url is not null").drop("error")
-        read = _asked(papers.select("pdf_url").distinct(), "pdf_url", call, "text string", self.pause)
-        return papers.join(read.select("pdf_url", "a.text"), "pdf_url", "left")
+        read = _asked(papers.select("pdf_url").distinct(), "pdf_url", call, "text string", self.pause, self.cache, "paper")
+        return papers.join(read.select("pdf_url", F.coalesce("a.text", F.lit("")).alias("text")), "pdf_url", "left")

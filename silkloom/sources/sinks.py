@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FORMATS = ("json", "csv", "text", "parquet")
+FORMATS = ("json", "lines", "csv", "text", "parquet")
 
 
 def _flat(samples: DataFrame) -> DataFrame:
@@ -20,11 +20,14 @@ def _flat(samples: DataFrame) -> DataFrame:
 
 
 def save_dataset(samples: DataFrame, folder: str, task: str, format: str = "json", stamp: str | None = None) -> str:
-    """Write samples under folder/task_stamp and return the path. json and text are JSON lines."""
+    """Write samples under folder/task_stamp and return the path. json is one file with one array; lines and text are JSON
+    lines, a file a task."""
     if format not in FORMATS:
         raise ValueError(f"unsupported format: {format}")
     stamp = stamp or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S_%f")
     path = f"{folder.rstrip('/')}/{task}_{stamp}"
+    if format == "json":
+        return save_array(samples, f"{path}.json")
     if format == "csv":
         _flat(samples).write.option("header", True).csv(path)
     elif format == "parquet":
@@ -34,6 +37,42 @@ def save_dataset(samples: DataFrame, folder: str, task: str, format: str = "json
     return path
 
 
+def save_array(samples: DataFrame, path: str) -> str:
+    """One JSON array in one file, in the order of the rows (of `orderBy`, where there is one); fields that are null stay.
+
+    Every task writes its rows as a part; the driver then copies the parts, in order and a buffer at a time, into the file,
+    which appears under its name only when it is whole. No rows pass through the driver's memory.
+    """
+    spark = samples.sparkSession
+    parts, unfinished = f"{path}.parts", f"{path}.unfinished"
+    row = F.to_json(F.struct(*(F.col(f"`{c}`") for c in samples.columns)), {"ignoreNullFields": "false"})
+    samples.select(F.concat(F.lit(","), row).alias("value")).write.mode("overwrite").text(parts)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(conf)
+    out = fs.create(at(unfinished), True)
+    try:
+        out.write(ord("["))
+        first = True
+        found = [f for f in fs.listStatus(at(parts)) if f.getPath().getName().startswith("part-") and f.getLen()]
+        for f in sorted(found, key=lambda f: f.getPath().getName()):
+            part = fs.open(f.getPath())
+            try:
+                if first:
+                    part.read()  # the comma before the first row
+                first = False
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+        out.write(ord("]"))
+    finally:
+        out.close()
+    fs.delete(at(path), False)
+    fs.rename(at(unfinished), at(path))
+    fs.delete(at(parts), True)
+    return path
+
+
 def save_splits(samples: DataFrame, folder: str, split: str = "split") -> None:
     """Parquet and CSV, a folder for each split."""
     samples.write.partitionBy(split).parquet(f"{folder}/parquet")

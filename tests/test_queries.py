@@ -10,7 +10,7 @@ import pytest
 from silkloom.plans.queries import QUERIES, SQL
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-TABLES = "documents pages conversations labels".split()
+TABLES = "documents pages conversations labels benchmark".split()
 
 
 def compare(spark, name, queries, sql):

@@ -9,7 +9,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from silkloom import services
+from silkloom import cache, services
 from silkloom.functions import responses
 from silkloom.plans import dataset, generation
 from silkloom.sources import files, remote, sinks
@@ -88,7 +88,7 @@ def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, ["a"], "train"), (2, ["b"], "test")], "id int, x array<string>, split string")
     for kind in sinks.FORMATS:
         path = sinks.save_dataset(df, str(tmp_path), "task", kind, kind)
-        assert spark.read.format("csv" if kind == "csv" else "parquet" if kind == "parquet" else "json").option("header", True).load(path).count() == 2
+        assert spark.read.format("csv" if kind == "csv" else "parquet" if kind == "parquet" else "json").option("header", True).option("multiLine", kind == "json").load(path).count() == 2
     with pytest.raises(ValueError):
         sinks.save_dataset(df, str(tmp_path), "task", "xml")
     sinks.save_splits(df, str(tmp_path / "s"))
@@ -100,6 +100,74 @@ def test_sinks(spark, tmp_path):
         sinks.to_report({}, "pdf")
 
 
+def test_one_array(spark, tmp_path):
+    rows = [(i, f'é "{i}"\n', None if i % 3 else [i]) for i in range(500)]
+    df = spark.createDataFrame(rows, "id int, text string, x array<int>").repartition(7)
+    path = sinks.save_dataset(df.orderBy("id"), str(tmp_path), "task", stamp="a")
+    assert json.loads(open(path, encoding="utf-8").read()) == [{"id": i, "text": t, "x": x} for i, t, x in rows]
+    assert [p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")] == ["task_a.json"]
+    sinks.save_array(df.where("id < 0"), path)
+    assert json.loads(open(path).read()) == []
+
+
+def test_answers_are_kept(spark, tmp_path):
+    """A second fetch asks for nothing; failures are asked again; looking keys up does not shuffle the table."""
+    log = tmp_path / "log"
+
+    def counted(url, params):
+        with open(log, "a") as f:
+            f.write(f"{params}\n")
+        if "down" in str(params):
+            raise OSError("down")
+        return wiki(url, params)
+
+    asked = lambda: len(log.read_text().splitlines()) if log.exists() else 0
+    kept = cache.AnswerCache(spark, "answers", buckets=8)
+    source = remote.WikipediaSource(get=counted, pause=0, cache=kept)
+    queries = spark.createDataFrame([("q",), ("q",), ("down",), (None,)], "query string")
+    first = sorted(map(repr, source.search(queries).collect()))
+    assert asked() == 3 and len(first) == 4
+    again = sorted(map(repr, source.search(queries).collect()))
+    assert asked() == 4 and again == first  # only what was down
+    assert tuple(source.documents(queries.where("query = 'q'")).first()) == ("wiki_7", "T", "body", "wikipedia_th")
+    before = asked()
+    assert source.documents(queries.where("query = 'q'")).count() == 1 and asked() == before
+    assert source.search(queries.where("query = 'q'"), limit=3).count() == 1 or asked() == before + 1
+
+    keys = spark.createDataFrame([(f"k{i}",) for i in range(50)], "key string")
+    for day in ("2020-01-01", "2021-01-01"):
+        kept.put(keys.where("key < 'k3'").selectExpr("key", f"concat(key, '-{day}') as value", f"timestamp'{day}' as timestamp"))
+    want = {f"k{i}": f"k{i}-2021-01-01" if f"k{i}" < "k3" else None for i in range(50)}
+    for _ in range(2):
+        probe = kept.probe(keys)
+        assert {r.key: r.value for r in probe.collect()} == want
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = kept.probe(keys)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert "Join" in plan and plan.count("Exchange") == 1 and "Exchange" not in plan[plan.index("Aggregate") :], plan
+        n = spark.table("answers").count()
+        kept.compact()
+    assert spark.table("answers").count() == spark.table("answers").select("key").distinct().count() <= n
+    old = cache.AnswerCache(spark, "answers", buckets=8, ttl="1 day")
+    assert old.probe(keys).where("value is not null").count() == 0
+
+
+def test_models_are_asked_once(spark, tmp_path):
+    log = tmp_path / "log"
+
+    def model(prompt):
+        with open(log, "a") as f:
+            f.write("x")
+        return client(prompt)
+
+    kept = cache.AnswerCache(spark, "said", buckets=4, ttl="1 day")
+    prompts = spark.createDataFrame([("good", 1), ("good", 2), ("bad", 3), (None, 4)], "prompt string, n int")
+    for times in (2, 3):
+        rows = {r.n: r for r in services.ask_through(prompts, model, kept, "s", "m").collect()}
+        assert rows[1].response == rows[2].response and "good" in rows[1].response and "no" in rows[3].error and rows[4].error
+        assert len(log.read_text()) == times  # the failed one is asked again
+
+
 def client(prompt):
     if "bad" in prompt:
         raise RuntimeError("no")
@@ -115,13 +183,13 @@ def test_services(spark):
     assert services.verify_access({"x": lambda p: 1 / 0, "y": lambda p: "ok"}) == {"x": False, "y": True}
     assert services.request_payload("chat", "m", "p")["messages"] == [{"role": "user", "content": "p"}]
     assert services.read_answer("inference", [{"generated_text": "t"}]) == "t" and services.read_answer("generate", {"response": "r"}) == "r"
-    cache = spark.createDataFrame([], services.CACHE)
+    known = spark.createDataFrame([], services.CACHE)
     some = prompts.where("prompt = 'good'")
-    told, cache = services.ask_cached(some, client, cache, "s", "m")
-    assert told.first().response and cache.count() == 1
+    told, known = services.ask_cached(some, client, known, "s", "m")
+    assert told.first().response and known.count() == 1
     old = spark.sql("select 's:m:good' as key, 'stale' as value, timestamp'2020-01-01' as timestamp")
     assert services.cached(old.select("key"), old).first().value is None
-    assert services.upsert(cache, old).first().value != "stale"
+    assert services.upsert(known, old).first().value != "stale"
 
 
 def test_generation(spark):
@@ -159,7 +227,7 @@ def test_dataset_pipeline_and_tasks(spark, tmp_path):
     assert report["validation"]["dual_validation"]["average_score"] == pytest.approx(0.94)
     loop = dataset.TaskLoop(spark, lambda c, n: (df, "text_classification", "id"), str(tmp_path / "check"))
     result = loop.run_task(dataset.TaskConfig("text_classification", output_dir=str(tmp_path / "out")), "t1")
-    assert result.status == "success" and spark.read.json(result.dataset_path).count() == 10
+    assert result.status == "success" and spark.read.json(result.dataset_path, multiLine=True).count() == 10
     again = dataset.TaskLoop(spark, lambda c, n: 1 / 0, str(tmp_path / "check"))
     again.load()
     assert again.run_task(dataset.TaskConfig("text_classification"), "t1").status == "success"
