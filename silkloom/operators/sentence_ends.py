@@ -111,31 +111,54 @@ def _keeps_stop(kind: Column, listed: Column) -> Column:
     return listed | (kind == NUMBER) | kind.rlike(r"^\p{L}$")
 
 
+def _words(texts: DataFrame, text: str) -> DataFrame:
+    """word, n, opening: words as written, how often, and how often as the first one of a text."""
+    told = texts.select(tokens(text).alias("w"))
+    every = told.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    first = texts.select(F.regexp_extract(text, f"^{WS}*([^{WS_CHARS}]+)", 1).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("opening"))
+    return every.join(first, "word", "left").select("word", "n", F.coalesce("opening", F.lit(0)).alias("opening"))
+
+
+def _borders(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, h, at, word, after: the words on either side of each ending mark that white space follows."""
+    cut = texts.select(F.col(key).alias("key"), F.md5(text).alias("h"), stretches(text).alias("s")).where(F.size("s") > 1)
+    two = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))
+    at = cut.select("key", "h", F.posexplode(two).alias("at", "p"))
+    word = F.regexp_extract("p.a", f"(?s)^(?:.*{WS})?([^{WS_CHARS}]+){WS}*\\z", 1)
+    return at.select("key", "h", "at", word.alias("word"), F.regexp_extract("p.b", f"^{WS}*([^{WS_CHARS}]+)", 1).alias("after"))
+
+
+def _typed(pairs: DataFrame) -> DataFrame:
+    """pairs (word, after) with mark, type, next, upper and lower, as the rules read them; `word` is always set off by its mark."""
+    mark = _mark(F.col("word"))
+    kind = F.when(mark == ".", word_type(F.col("word"))).otherwise("")
+    return pairs.select("*", mark.alias("mark"), kind.alias("type"), word_type(F.col("after")).alias("next"), _upper(F.col("after")).alias("upper"), _lower(F.col("after")).alias("lower"))
+
+
 def learn(texts: DataFrame, text: str = "text") -> SentenceModel:
-    """One aggregation over all words, partial before its shuffle; the rest works on distinct words and pairs."""
+    """Words, and pairs around ending marks, are counted as written, before the shuffle; all the rest, marks and types included,
+    works on the distinct ones."""
     ensure_checkpoint_dir(texts.sparkSession)
-    told = texts.select(tokens(text).alias("w")).where(F.size("w") > 0)
-    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("w", F.lit(1), F.size("w") - 1))
-    pairs = told.select(F.explode(F.arrays_zip(before.alias("before"), F.col("w").alias("word"))).alias("p")).select("p.before", "p.word")
-    word, last = F.col("word"), F.col("before")
-    ending = lambda marks: last.rlike(f"[{marks}][{CLOSERS}]*$")
-    # One pass over the words: how often each stands inside a sentence or not, and after which word with an ending mark. Types
-    # and marks are then worked out once for each distinct one.
-    raw = pairs.groupBy("word", (last.isNotNull() & ~ending(".!?:")).alias("inside"), F.when(ending(".!?"), last).alias("before"))
-    raw = raw.agg(F.count("*").alias("m")).checkpoint()
-    number = lambda c: F.coalesce(F.sum(F.when(c, F.col("m"))), F.lit(0))
-    types = raw.groupBy("word", "inside").agg(F.sum("m").alias("m")).groupBy(word_type(word).alias("type"))
-    types = types.agg(F.sum("m").alias("n"), number(_stopped(word)).alias("stopped"), number(_lower(word)).alias("lower"), number(_upper(word) & F.col("inside")).alias("inner_upper"))
+    keyed = texts.select(F.lit(0).alias("key"), F.col(text).alias("text"))
+    return _learn(texts, text, _borders(keyed, "key", "text").groupBy("word", "after").agg(F.count("*").alias("m")))
+
+
+def _learn(texts: DataFrame, text: str, pairs: DataFrame) -> SentenceModel:
+    pairs = _typed(pairs).checkpoint()
+    word = F.col("word")
+    ended = pairs.groupBy(F.col("after").alias("word")).agg(F.sum("m").alias("ended"))
+    raw = _words(texts, text).join(ended, "word", "left").withColumn("inside", F.col("n") - F.col("opening") - F.coalesce("ended", F.lit(0)))
+    number = lambda c, of: F.coalesce(F.sum(F.when(c, F.col(of))), F.lit(0))
+    types = raw.groupBy(word_type(word).alias("type")).agg(F.sum("n").alias("n"), number(_stopped(word), "n").alias("stopped"), number(_lower(word), "n").alias("lower"), number(_upper(word), "inside").alias("inner_upper"))
     types = types.where("type <> ''").checkpoint()
-    around = raw.where("before is not null").groupBy(_mark(last).alias("mark"), F.when(_mark(last) == ".", word_type(last)).otherwise("").alias("type"), word_type(word).alias("next"), _upper(word).alias("upper"))
-    around = around.agg(F.sum("m").alias("n")).where("next <> '' and mark <> '..'").checkpoint()
+    around = pairs.where("next <> '' and mark <> '..'").groupBy("mark", "type", "next", "upper").agg(F.sum("m").alias("n"))
     totals = types.agg(F.sum("n").alias("total"), F.sum("stopped").alias("stops"))  # one row
     plain = F.col("n") - F.col("stopped")
     scored = types.where((F.col("stopped") > 0) & (F.col("type") != NUMBER)).crossJoin(totals)
     scored = scored.select("type", "stopped", plain.alias("plain"), abbreviation_score(F.col("stopped"), plain, F.col("stops"), F.col("total"), F.col("type")).alias("score"))
     abbreviations = scored.where(F.col("score") >= ABBREVIATION).checkpoint()
     listed = abbreviations.select("type", F.lit(True).alias("listed"))
-    keeps = around.join(listed, "type", "left").withColumn("keeps", (F.col("mark") == ".") & _keeps_stop(F.col("type"), F.coalesce("listed", F.lit(False)))).drop("listed")
+    keeps = around.join(listed, "type", "left").withColumn("keeps", (F.col("mark") == ".") & _keeps_stop(F.col("type"), F.coalesce("listed", F.lit(False)))).drop("listed").checkpoint()
     ends = keeps.where("not keeps").groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("opens"))
     all_ends = ends.agg(F.sum("opens").alias("ends"))  # one row
     starters = ends.join(types, "type").crossJoin(totals).crossJoin(all_ends).where(F.col("type") != NUMBER)
@@ -152,25 +175,27 @@ def learn(texts: DataFrame, text: str = "text") -> SentenceModel:
     return SentenceModel(abbreviations, starters, kept.where("together").select("type", "next", F.col("both").alias("n"), "score"), breaks.select("type", "next").checkpoint())
 
 
-def learned_sentences(texts: DataFrame, key: str = "doc_id", text: str = "text", model: SentenceModel | None = None, least: int = 10, most: int = 1000) -> DataFrame:
-    """key, pos, sentence: stripped sentences of least to most characters, by a model learned from the same texts if none is
-    given. Only stretches that don't end a sentence are sent back to their texts; rows of equal key and text stay apart."""
-    ensure_checkpoint_dir(texts.sparkSession)
-    model = model or learn(texts, text)
-    cut = texts.select(F.col(key).alias("key"), F.md5(text).alias("h"), stretches(text).alias("s"))
-    two = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))
-    at = cut.where(F.size("s") > 1).select("key", "h", F.posexplode(two).alias("at", "p"))
-    word = F.regexp_extract("p.a", f"(?s)^(?:.*{WS})?([^{WS_CHARS}]+){WS}*\\z", 1)
-    after = F.regexp_extract("p.b", f"^{WS}*([^{WS_CHARS}]+)", 1)
-    at = at.select("key", "h", "at", word.alias("word"), after.alias("after"))
-    at = at.select("key", "h", "at", _mark(F.col("word")).alias("mark"), word_type(F.col("word")).alias("type"), word_type(F.col("after")).alias("next"), _upper(F.col("after")).alias("upper"), _lower(F.col("after")).alias("lower"))
-    at = at.checkpoint()  # read twice; a filter would work out the marks once more each time
+def _stays(pairs: DataFrame, model: SentenceModel) -> DataFrame:
+    """word, after: the pairs whose mark does not end a sentence."""
+    typed = _typed(pairs.select("word", "after")).where("mark <> '!'")
     listed = model.abbreviations.select("type", F.lit(True).alias("listed"))
-    known = at.where("mark = '.'").join(listed, "type", "left").where(_keeps_stop(F.col("type"), F.coalesce("listed", F.lit(False))))
+    known = typed.where("mark = '.'").join(listed, "type", "left").where(_keeps_stop(F.col("type"), F.coalesce("listed", F.lit(False))))
     known = known.join(model.breaks.withColumn("open", F.lit(True)), ["type", "next"], "left")
     ends = F.when(F.col("upper"), F.coalesce("open", F.lit(False))).otherwise((F.col("type") == NUMBER) & ~F.col("lower"))
-    on = known.where(~ends).select("key", "h", "at").unionByName(at.where("mark = '..' and lower").select("key", "h", "at"))
+    return known.where(~ends).select("word", "after").unionByName(typed.where("mark = '..' and lower").select("word", "after"))
+
+
+def learned_sentences(texts: DataFrame, key: str = "doc_id", text: str = "text", model: SentenceModel | None = None, least: int = 10, most: int = 1000) -> DataFrame:
+    """key, pos, sentence: stripped sentences of least to most characters, by a model learned from the same texts if none is
+    given. Whether a mark ends a sentence is worked out once for each distinct pair of words around it; only the places where it
+    does not are sent back to their texts. Rows of equal key and text stay apart."""
+    ensure_checkpoint_dir(texts.sparkSession)
+    at = _borders(texts, key, text).checkpoint()
+    pairs = at.groupBy("word", "after").agg(F.count("*").alias("m")).checkpoint()
+    model = model or _learn(texts, text, pairs)
+    on = at.join(_stays(pairs, model).checkpoint(), ["word", "after"])
     joined = on.groupBy(F.col("key").alias("of"), F.col("h").alias("text")).agg(F.collect_set("at").alias("on"))
+    cut = texts.select(F.col(key).alias("key"), F.md5(text).alias("h"), stretches(text).alias("s"))
     both = cut.join(joined, F.col("key").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text")), "left").select("key", "s", F.coalesce("on", F.array().cast("array<int>")).alias("on"))
     stops = F.array_except(F.sequence(F.lit(0), F.size("s") - 1), "on")
     both = both.where(F.size("s") > 0).select("key", "s", stops.alias("stop"))
@@ -187,12 +212,12 @@ def abbreviations_sql(table: str = "documents") -> str:
     first = lambda w: f"regexp_extract({w}, '^[^{WORD_CHARS}]*([{WORD_CHARS}])', 1)"
     end = lambda w: f"regexp_extract({w}, '([.!?]+)[{closers}]*$', 1)"
     stopped = lambda w: f"regexp_matches({bare(w)}, '[^.]\\.$')"
-    facts = lambda w, p: f"{kind(w)} as {p}type, {stopped(w)} as {p}stopped, regexp_matches({first(w)}, '^\\p{{Lu}}') as {p}upper, regexp_matches({first(w)}, '^\\p{{Ll}}') as {p}lower, case when {end(w)} = '' then '' when regexp_matches({end(w)}, '[!?]') then '!' when {stopped(w)} then '.' else '..' end as {p}mark, regexp_matches({w}, '[.!?:][{closers}]*$') as {p}colon"
+    facts = lambda w, p: f"{kind(w)} as {p}type, {stopped(w)} as {p}stopped, regexp_matches({first(w)}, '^\\p{{Lu}}') as {p}upper, regexp_matches({first(w)}, '^\\p{{Ll}}') as {p}lower, case when {end(w)} = '' then '' when regexp_matches({end(w)}, '[!?]') then '!' when {stopped(w)} then '.' else '..' end as {p}mark, regexp_matches({w}, '[.!?][{closers}]*$') as {p}ended"
     return f"""
 t as (select list_filter(string_split_regex(text, '{WS}+'), lambda w: w <> '') as w from {table}),
 p as (select unnest(w) as word, unnest(list_prepend(null, w[:-2])) as before from t where len(w) > 0),
 q as (select {facts("word", "")}, {facts("before", "b_")}, before is null as opening from p),
-types as materialized (select type, count(*) as n, count(*) filter (stopped) as stopped, count(*) filter (lower) as lower, count(*) filter (upper and not opening and not b_colon) as inner_upper from q where type <> '' group by type),
+types as materialized (select type, count(*) as n, count(*) filter (stopped) as stopped, count(*) filter (lower) as lower, count(*) filter (upper and not opening and not b_ended) as inner_upper from q where type <> '' group by type),
 around as materialized (select b_mark as mark, case when b_mark = '.' then b_type else '' end as type, type as next, upper, count(*) as n from q where not opening and b_mark in ('.', '!') and type <> '' group by all),
 totals as (select sum(n) as total, sum(stopped) as stops from types),
 scored as (select type, stopped, n - stopped as plain, length(replace(type, '.', '')) as size,

@@ -8,12 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from silkloom.cache import AnswerCache
 from silkloom.functions import responses, thai
 from silkloom.functions import text as txt
-from silkloom.operators import augment, entities, graph, metrics, segment, sentence_ends, similarity, spelling, validate
+from silkloom.operators import augment, entities, graph, metrics, neighbours, segment, sentence_ends, similarity, spelling, validate
 from silkloom.plans import documents
 from silkloom.sources import files, remote
-from silkloom.sources.sinks import with_quality
+from silkloom.sources.sinks import save_array, with_quality
 from silkloom.storage import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -302,6 +303,11 @@ def name_coverage(spark, sf_dir):
     return rounded(found.select("doc_id", F.size("entities").alias("spans"), "coverage"))
 
 
+@query(neighbours.neighbours_sql())
+def word_neighbours(spark, sf_dir):
+    return neighbours.neighbours(table(spark, sf_dir, "documents"))
+
+
 #: Words of the dictionary that the query below segments by: the most frequent ones.
 DICTIONARY = 50_000
 
@@ -504,6 +510,32 @@ def conll_blocks(spark, sf_dir):
     return read.select(F.md5("text").alias("block"), F.size(F.split("text", "\n")).cast("long").alias("n_lines"))
 
 
+@query("select conv_id, turn, role, md5(text) as text from conversations")
+def json_array(spark, sf_dir):
+    """Conversations written as one JSON array in one file and read back by many tasks."""
+    turns = table(spark, sf_dir, "conversations")
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}.json"
+    items = files.load_text(spark, save_array(turns.orderBy("conv_id", "turn"), path), "array")
+    read = items.select(F.from_json("text", turns.schema).alias("r")).select("r.*")
+    return read.select("conv_id", "turn", "role", F.md5("text").alias("text"))
+
+
+@query("""
+select conv_id || '-' || turn as key, case when turn % 3 = 0 then 'new ' || md5(text) when turn % 3 = 1 then md5(text) end as value from conversations""")
+def kept_answers(spark, sf_dir):
+    """Answers kept for a part of the turns, some of them twice, the table compacted, and every turn looked up in it."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("key"), "turn", F.md5("text").alias("value"))
+    ensure_checkpoint_dir(spark)
+    cache = AnswerCache(spark, f"kept_answers_{uuid.uuid4().hex}")
+    at = lambda day: F.lit(day).cast("timestamp")
+    cache.put(turns.where("turn % 3 < 2").withColumn("timestamp", at("2020-01-01")))
+    cache.put(turns.where("turn % 3 = 0").select("key", F.concat(F.lit("new "), "value").alias("value"), at("2021-01-01").alias("timestamp")))
+    cache.compact()
+    found = cache.probe(turns.select("key")).checkpoint()
+    spark.sql(f"drop table {cache.name}")
+    return found
+
+
 @query("""
 select conv_id || '-' || turn as id, unnest([0, 1, 2]) as pos, unnest([role, turn::varchar, '{"k":' || conv_id || '}']) as item from conversations
 union all select * from (values ('a', 0, 'a'), ('a', 1, '1'), ('a', 2, '{"k":2}'), ('b', 0, 'x'), ('b', 1, 'true'), ('c', 0, '7')) t(id, pos, item)""")

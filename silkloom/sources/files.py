@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -42,6 +43,11 @@ def json_items(content: Column) -> Column:
     return F.transform(items, lambda v: F.coalesce(F.try_variant_get(v, "$", "string"), F.to_json(v)))
 
 
+def array_item(content: Column) -> Column:
+    """The text of one item of a JSON array, as an array of one."""
+    return json_items(F.concat(F.lit("["), content, F.lit("]")))
+
+
 def plain_lines(content: Column) -> Column:
     """The lines of a text that aren't blank, stripped."""
     return F.filter(F.transform(F.split(content, "\r\n|\r|\n"), strip), lambda x: x != "")
@@ -50,72 +56,178 @@ def plain_lines(content: Column) -> Column:
 @dataclass(frozen=True)
 class TextFormat:
     """How samples lie in a file: `pieces` turns a unit of it into an array of samples. The unit is a line, a block (lines
-    between blank ones) or the whole file. Files of lines and blocks are split among tasks, whatever their size."""
+    between blank ones), an item of one JSON array, or the whole file. All but whole files are split among tasks, whatever
+    their size."""
 
     pieces: Callable[[Column], Column]
     unit: str = "file"
 
 
 #: Known formats by name; `register` adds to them.
-FORMATS: dict[str, TextFormat] = {"plain": TextFormat(plain_lines, "line"), "conll": TextFormat(conll_blocks, "block"), "json": TextFormat(json_items)}
+FORMATS: dict[str, TextFormat] = {"plain": TextFormat(plain_lines, "line"), "conll": TextFormat(conll_blocks, "block"), "json": TextFormat(json_items), "array": TextFormat(array_item, "item")}
 
 
 def register(name: str, format: TextFormat) -> None:
     """Let `load_text` read files of a caller's format."""
-    if format.unit not in ("line", "block", "file"):
+    if format.unit not in ("line", "block", "item", "file"):
         raise ValueError(f"unknown unit: {format.unit}")
     FORMATS[name] = format
 
 
-_EDGE_HEAD, _EDGE_TAIL, _EDGE_ALL = 1, 2, 3
+_HEAD, _TAIL, _ALL = 1, 2, 3
+_CUT = "path string, start long, edge int, unit string"
 
 
-def _cut_at_blanks(batches):
-    """Blocks of each split's lines. What lies before the first blank line and after the last one may go on in the splits beside
-    it and is marked; a split without a blank line is one such edge."""
+class _Cutter:
+    """Units of the splits of files, whose pieces (lines, or what stands between commas) come in order.
+
+    What lies before the first end of a unit in a split and after the last one may go on in the splits beside it: such edges
+    are marked, and null where they have no piece. A split in which no unit ends is one edge.
+    """
+
+    def __init__(self, separator: str):
+        self.separator, self.split, self.pieces, self.cut, self.found = separator, None, [], False, []
+
+    def _add(self, edge: int) -> None:
+        self.found.append((*self.split, edge, self.separator.join(self.pieces) if self.pieces else None))
+        self.pieces = []
+
+    def at(self, path: str, start: int) -> bool:
+        """Whether a piece of this split is the first one of it."""
+        if (path, start) == self.split:
+            return False
+        self.close()
+        self.split, self.cut = (path, start), False
+        return True
+
+    def end(self) -> None:
+        """A unit ends after the last piece."""
+        if self.pieces or not self.cut:
+            self._add(0 if self.cut else _HEAD)
+        self.cut = True
+
+    def close(self) -> None:
+        if self.split:
+            self._add(_TAIL if self.cut else _ALL)
+
+    def batch(self) -> pa.RecordBatch:
+        found, self.found = self.found, []
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["path", "start", "edge", "unit"])
 
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 4, (pa.string(), pa.int64(), pa.int32(), pa.string()))], names=["path", "start", "edge", "block"])
 
-    split, lines, cut = None, [], False
+def _rows(batch):
+    return zip(*(batch.column(c).to_pylist() for c in ("path", "start", "value")))
 
-    def last():
-        return [(*split, _EDGE_TAIL if cut else _EDGE_ALL, "\n".join(lines))] if split else []
 
+def _cut_at_blanks(batches):
+    cutter = _Cutter("\n")
     for b in batches:
-        found = []
-        for path, start, line in zip(*(b.column(c).to_pylist() for c in ("path", "start", "value"))):
-            if (path, start) != split:
-                found += last()
-                split, lines, cut = (path, start), [], False
+        for path, start, line in _rows(b):
+            cutter.at(path, start)
             if line.strip():
-                lines.append(line)
-            elif lines or not cut:
-                found.append((path, start, 0 if cut else _EDGE_HEAD, "\n".join(lines)))
-                lines, cut = [], True
-        yield rows(found)
-    yield rows(last())
+                cutter.pieces.append(line)
+            else:
+                cutter.end()
+        yield cutter.batch()
+    cutter.close()
+    yield cutter.batch()
+
+
+def _outside(piece: str) -> tuple[int, int, int]:
+    """What a piece between two commas of a JSON text does: 1 if it opens or closes a string, and by how much it nests deeper
+    if it begins outside a string, and inside one."""
+    quoted = (re.sub(r"\\.", "", piece, flags=re.DOTALL) if "\\" in piece else piece).split('"')
+    deeper = [0, 0]
+    for i, part in enumerate(quoted):
+        deeper[i % 2] += part.count("[") + part.count("{") - part.count("]") - part.count("}")
+    return (len(quoted) - 1) % 2, deeper[0], deeper[1]
+
+
+def _summed(batches):
+    """Of each split, for a beginning outside and inside a string: whether it ends inside one, and how much deeper."""
+    split, ends, deeper = None, [0, 1], [0, 0]
+    found = []
+    for b in batches:
+        for path, start, piece in _rows(b):
+            if (path, start) != split:
+                found += [(*split, *ends, *deeper)] if split else []
+                split, ends, deeper = (path, start), [0, 1], [0, 0]
+            flip, *more = _outside(piece)
+            deeper = [deeper[s] + more[ends[s]] for s in (0, 1)]
+            ends = [end ^ flip for end in ends]
+    found += [(*split, *ends, *deeper)] if split else []
+    kinds = (pa.string(), pa.int64(), *[pa.int32()] * 2, *[pa.int64()] * 2)
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*found)) or [[]] * 6, kinds)], names=["path", "start", "end0", "end1", "deeper0", "deeper1"])
+
+
+def _cut_at_commas(begins: dict[tuple[str, int], tuple[int, int]]):
+    """Items of JSON arrays, told in which state each split begins."""
+
+    def run(batches):
+        cutter = _Cutter(",")
+        inside = depth = 0
+        for b in batches:
+            for path, start, piece in _rows(b):
+                if cutter.at(path, start):
+                    inside, depth = begins[path, start]
+                flip, *more = _outside(piece)
+                if not inside and not depth:  # the array's own bracket
+                    piece = piece.lstrip().removeprefix("[")
+                inside, depth = inside ^ flip, depth + more[inside]
+                if not inside and not depth:
+                    piece = piece.rstrip().removesuffix("]")
+                cutter.pieces.append(piece)
+                if not inside and depth == 1:
+                    cutter.end()
+            yield cutter.batch()
+        cutter.close()
+        yield cutter.batch()
+
+    return run
+
+
+def _units(cut: DataFrame, separator: str) -> DataFrame:
+    """c: the units of all splits. Inner ones as they are; the edges, two rows a split, are put together in order: a tail, splits
+    in which no unit ends, and the head that ends them."""
+    order = Window.partitionBy("path").orderBy("start", "edge")
+    edges = cut.where("edge > 0").withColumn("nth", F.sum(F.when(F.col("edge") == _TAIL, 1).otherwise(0)).over(order))
+    joined = edges.groupBy("path", "nth").agg(F.array_sort(F.collect_list(F.struct("start", "edge", "unit"))).alias("e"))
+    whole = joined.select(F.array_join(F.filter(F.transform("e", lambda x: x["unit"]), lambda x: x.isNotNull()), separator).alias("c"))
+    return cut.where("edge = 0").select(F.col("unit").alias("c")).unionByName(whole)
+
+
+def _pieces(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    read = spark.read.text(path, lineSep=separator) if separator else spark.read.text(path)
+    return read.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """c: the blocks of lines between blank ones, of UTF-8 files that are split among tasks at any byte.
+    """c: the blocks of lines between blank ones, of UTF-8 files that are split among tasks at any byte. The files are read
+    twice, for the inner blocks and for the edges of the splits."""
+    return _units(_pieces(spark, path).mapInArrow(_cut_at_blanks, _CUT), "\n").where("c <> ''")
+
 
-    A split gives its inner blocks as they are. The edges of a file's splits, two short rows each, are put together in order:
-    a tail, splits without a blank line, and the head that ends them. The files are read twice, once for either.
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """c: the items, as JSON text, of files that hold one JSON array each, in UTF-8, split among tasks at any byte.
+
+    Files are cut at commas. Whether a comma ends an item depends on all that stands before it in the file: in a string or not,
+    and how deep. So a first pass sums up each split, for either way in which it may begin; the driver adds the sums (a row a
+    split) and tells the second pass how each begins.
     """
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value")
-    cut = lines.mapInArrow(_cut_at_blanks, "path string, start long, edge int, block string")
-    order = Window.partitionBy("path").orderBy("start", "edge")
-    edges = cut.where("edge > 0").withColumn("nth", F.sum(F.when(F.col("edge") == _EDGE_TAIL, 1).otherwise(0)).over(order))
-    joined = edges.groupBy("path", "nth").agg(F.array_sort(F.collect_list(F.struct("start", "edge", "block"))).alias("e"))
-    whole = joined.select(F.array_join(F.filter(F.transform("e", lambda x: x["block"]), lambda x: x != ""), "\n").alias("c"))
-    return cut.where("edge = 0").select(F.col("block").alias("c")).unionByName(whole).where("c <> ''")
+    pieces = _pieces(spark, path, ",")
+    begins: dict[tuple[str, int], tuple[int, int]] = {}
+    before, state = None, (0, 0)
+    for r in sorted(pieces.mapInArrow(_summed, "path string, start long, end0 int, end1 int, deeper0 long, deeper1 long").collect()):
+        state = state if r["path"] == before else (0, 0)
+        before, begins[r["path"], r["start"]] = r["path"], state
+        state = (r["end1"], state[1] + r["deeper1"]) if state[0] else (r["end0"], state[1] + r["deeper0"])
+    return _units(pieces.mapInArrow(_cut_at_commas(begins), _CUT), ",").where(F.trim("c") != "")
 
 
 def load_text(spark: SparkSession, path: str, format: str = "plain", encoding: str = "utf-8") -> DataFrame:
     """text: one row a sample. Raises FileNotFoundError and ValueError for a missing path and an unknown format.
 
-    UTF-8 files of lines or blocks give the same rows whether one task reads them or fifty. Files in other encodings, and
+    UTF-8 files of lines, blocks or items give the same rows whether one task reads them or fifty. Files in other encodings, and
     formats whose unit is the file, are read whole.
     """
     if format not in FORMATS:
@@ -126,7 +238,8 @@ def load_text(spark: SparkSession, path: str, format: str = "plain", encoding: s
     if how.unit == "file" or encoding.lower().replace("-", "") != "utf8":
         units = spark.read.format("binaryFile").load(path).select(F.decode("content", encoding).alias("c"))
     else:
-        units = read_blocks(spark, path) if how.unit == "block" else spark.read.text(path).select(F.col("value").alias("c"))
+        read = {"line": lambda s, p: s.read.text(p).select(F.col("value").alias("c")), "block": read_blocks, "item": read_items}[how.unit]
+        units = read(spark, path)
     return units.select(F.explode(how.pieces(F.col("c"))).alias("text"))
 
 

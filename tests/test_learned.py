@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 
 import pytest
@@ -258,3 +259,38 @@ def test_formats_of_a_caller(spark, tmp_path):
         del files.FORMATS["semicolons"]
     (tmp_path / "empty.conll").write_text("")
     assert files.load_text(spark, str(tmp_path / "empty.conll"), "conll").count() == 0
+
+
+def nested(rng, depth=0):
+    kind = rng.choice("snbdal") if depth < 3 else rng.choice("snb")
+    if kind == "s":
+        return "".join(rng.choice('ab,[]{}"\\é\n: ไ') for _ in range(rng.randint(0, 12)))
+    if kind == "n":
+        return rng.randint(-9, 10**6)
+    if kind == "b":
+        return rng.choice([True, False])
+    if kind == "d":
+        return {f"k{i},": nested(rng, depth + 1) for i in range(rng.randint(0, 3))}
+    return [nested(rng, depth + 1) for _ in range(rng.randint(0, 3))]
+
+
+@pytest.mark.parametrize("indent", [None, 2])
+def test_one_array_over_many_splits(spark, tmp_path, indent):
+    rng = random.Random(11)
+    files_of = {"a.json": [nested(rng) for _ in range(300)], "b.json": [], "c.json": ["x" * 3000, [["y," * 500]], 7]}
+    for name, items in files_of.items():
+        (tmp_path / name).write_text(" \n" * (name == "a.json") + json.dumps(items, indent=indent, ensure_ascii=name == "c.json") + "\n", encoding="utf-8")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = [spark.conf.get(n) for n in names]
+    want = sorted(json.dumps(i, sort_keys=True) for items in files_of.values() for i in items)
+    try:
+        for size in ("128m", "501", "97"):
+            spark.conf.set(names[0], size)
+            spark.conf.set(names[1], "0")
+            got = [r.c for r in files.read_items(spark, str(tmp_path)).collect()]
+            assert sorted(json.dumps(json.loads(c), sort_keys=True) for c in got) == want
+        texts = sorted(r.text for r in files.load_text(spark, str(tmp_path / "c.json"), "array").collect())
+        assert texts == sorted(["x" * 3000, json.dumps([["y," * 500]]), "7"])
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
