@@ -6,7 +6,9 @@ WORD_CHARS what its `\\w` matches.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -155,15 +157,39 @@ def html_text(page: Column | str) -> Column:
     return F.array_join(nodes, "")
 
 
-#: The character references that feeds and pages use most.
+#: The character references that feeds and pages use most, for the SQL of the queries.
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
+#: A character reference at the start of what follows an ampersand: decimal, hexadecimal or named.
+REFERENCE = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+
+
+def _named() -> Column:
+    """Name -> characters, of all references of HTML that end with a semicolon, as one literal."""
+    return F.from_json(F.lit(json.dumps({n[:-1]: c for n, c in html5.items() if n.endswith(";")})), "map<string,string>")
+
+
+def _character(code: Column) -> Column:
+    """The character of a code point; null for none: 0, surrogates, beyond Unicode."""
+    good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    return F.when(good, F.decode(F.unhex(F.lpad(F.hex(F.when(good, code)), 8, "0")), "UTF-32"))
+
+
 def unescape(text: Column | str) -> Column:
-    out = as_column(text)
-    for name, char in ENTITIES.items():
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    """The text with its character references decoded, each once; those that name nothing stay as they are."""
+    raw = as_column(text)
+
+    def one(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        hexadecimal = name.rlike("^#[xX]")
+        code = F.when(hexadecimal, F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(F.conv(F.substr(name, F.lit(2)), 10, 10))
+        said = F.when(F.startswith(name, F.lit("#")), _character(code.cast("long"))).otherwise(F.try_element_at(_named(), name))
+        return F.when((name != "") & said.isNotNull(), F.concat(said, F.substr(piece, F.length(name) + 2))).otherwise(F.concat(F.lit("&"), piece))
+
+    pieces = F.split(raw, "&")
+    told = F.concat(F.get(pieces, 0), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), one), ""))
+    return F.when(F.contains(raw, F.lit("&")), told).otherwise(raw)
 
 
 def uniform(*key: Column | str) -> Column:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from silkloom.functions.text import WORD_CHARS, WS, WS_CHARS, as_column, strip, tokens
+from silkloom.functions.text import WORD_CHARS, WS, WS_CHARS, as_column, strip
 from silkloom.storage import ensure_checkpoint_dir
 
 #: Thresholds of the paper: abbreviations, words that open sentences, collocations.
@@ -113,16 +113,20 @@ def _keeps_stop(kind: Column, listed: Column) -> Column:
 
 def _words(texts: DataFrame, text: str) -> DataFrame:
     """word, n, opening: words as written, how often, and how often as the first one of a text."""
-    told = texts.select(tokens(text).alias("w"))
-    every = told.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    every = texts.select(F.explode(F.split(text, f"{WS}+")).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("n"))
     first = texts.select(F.regexp_extract(text, f"^{WS}*([^{WS_CHARS}]+)", 1).alias("word")).where("word <> ''").groupBy("word").agg(F.count("*").alias("opening"))
     return every.join(first, "word", "left").select("word", "n", F.coalesce("opening", F.lit(0)).alias("opening"))
 
 
+def _digest(text: Column | str) -> Column:
+    return F.unhex(F.md5(text))
+
+
 def _borders(texts: DataFrame, key: str, text: str) -> DataFrame:
     """key, h, at, word, after: the words on either side of each ending mark that white space follows."""
-    cut = texts.select(F.col(key).alias("key"), F.md5(text).alias("h"), stretches(text).alias("s")).where(F.size("s") > 1)
-    two = F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))
+    cut = texts.select(F.col(key).alias("key"), _digest(text).alias("h"), stretches(text).alias("s"))
+    but_one = F.greatest(F.size("s") - 1, F.lit(0))  # no filter on the size: it would cut every text twice
+    two = F.arrays_zip(F.slice("s", F.lit(1), but_one).alias("a"), F.slice("s", F.lit(2), but_one).alias("b"))
     at = cut.select("key", "h", F.posexplode(two).alias("at", "p"))
     word = F.regexp_extract("p.a", f"(?s)^(?:.*{WS})?([^{WS_CHARS}]+){WS}*\\z", 1)
     return at.select("key", "h", "at", word.alias("word"), F.regexp_extract("p.b", f"^{WS}*([^{WS_CHARS}]+)", 1).alias("after"))
@@ -190,16 +194,16 @@ def learned_sentences(texts: DataFrame, key: str = "doc_id", text: str = "text",
     given. Whether a mark ends a sentence is worked out once for each distinct pair of words around it; only the places where it
     does not are sent back to their texts. Rows of equal key and text stay apart."""
     ensure_checkpoint_dir(texts.sparkSession)
-    at = _borders(texts, key, text).checkpoint()
+    at = _borders(texts, key, text)  # read from the texts twice: less than it would take to store
     pairs = at.groupBy("word", "after").agg(F.count("*").alias("m")).checkpoint()
     model = model or _learn(texts, text, pairs)
     on = at.join(_stays(pairs, model).checkpoint(), ["word", "after"])
     joined = on.groupBy(F.col("key").alias("of"), F.col("h").alias("text")).agg(F.collect_set("at").alias("on"))
-    cut = texts.select(F.col(key).alias("key"), F.md5(text).alias("h"), stretches(text).alias("s"))
+    cut = texts.select(F.col(key).alias("key"), _digest(text).alias("h"), stretches(text).alias("s"))
     both = cut.join(joined, F.col("key").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text")), "left").select("key", "s", F.coalesce("on", F.array().cast("array<int>")).alias("on"))
-    stops = F.array_except(F.sequence(F.lit(0), F.size("s") - 1), "on")
-    both = both.where(F.size("s") > 0).select("key", "s", stops.alias("stop"))
-    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("stop", F.lit(1), F.size("stop") - 1), lambda x: x + 1))
+    stops = F.when(F.size("s") > 0, F.array_except(F.sequence(F.lit(0), F.size("s") - 1), "on")).otherwise(F.array().cast("array<int>"))
+    both = both.select("key", "s", stops.alias("stop"))
+    starts = F.concat(F.array(F.lit(0)), F.transform(F.slice("stop", F.lit(1), F.greatest(F.size("stop") - 1, F.lit(0))), lambda x: x + 1))
     whole = F.transform(F.arrays_zip(starts.alias("a"), F.col("stop").alias("b")), lambda z: strip(F.array_join(F.slice("s", z["a"] + 1, z["b"] - z["a"] + 1), "")))
     return both.select(F.col("key").alias(key), F.posexplode(F.filter(whole, lambda x: F.length(x).between(least, most))).alias("pos", "sentence"))
 

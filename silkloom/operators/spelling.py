@@ -48,7 +48,7 @@ def _exploded(rows: DataFrame, keys: Callable[[Column, int], Column], errors: Co
     cases = F.when(errors == 0, keys(F.col(word), 0))
     for d in range(1, ERRORS + 1):
         cases = cases.when(errors == d, keys(F.col(word), d))
-    return rows.select("*", F.explode(cases).alias("key"))
+    return rows.select("*", F.explode(cases).alias("key")).withColumn("key", F.xxhash64("errors", "key"))
 
 
 def _part_start(size: Column, part: int, errors: int) -> Column:
@@ -91,12 +91,12 @@ def lookup(unknown: DataFrame, dictionary: DataFrame, word: str = "word", known:
     long = asked.where(F.length("word") > SHORT - F.col("errors"))
     pairs = []
     for words_, sides, keys in ((short, near, deletions), (long, far, _places)):
-        side = sides[0].unionByName(sides[1]).unionByName(sides[2])
-        probes = _exploded(words_, keys, F.col("errors"), "word")
-        pairs.append(probes.join(side, ["errors", "key"]).select("word", "known", "errors"))
-    found = pairs[0].unionByName(pairs[1]).distinct()
-    distance = F.levenshtein("word", "known")
-    return found.select("word", "known", distance.alias("distance"), "errors").where("distance <= errors").drop("errors")
+        # Keys travel as hashes: two keys of one hash give a pair more, which its distance rules out.
+        side = sides[0].unionByName(sides[1]).unionByName(sides[2]).select("known", F.xxhash64("errors", "key").alias("key"))
+        probes = _exploded(words_, keys, F.col("errors"), "word").drop("errors")
+        near_enough = probes.join(side, "key").withColumn("distance", F.levenshtein("word", "known")).where(F.col("distance") <= allowed_errors("word"))
+        pairs.append(near_enough.select("word", "known", "distance"))
+    return pairs[0].unionByName(pairs[1]).distinct()
 
 
 def rare_and_frequent(texts: DataFrame, text: str = "text", rare: int = 2, frequent: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -48,7 +48,37 @@ def translation(source: str = "en", target: str = "th") -> Task:
     return Task("translation", f"Translate the text from {source} to {target}.", "translation map<string,string>, metadata struct<quality:int,difficulty:int,register:string>", ("translation",))
 
 
-TASKS: dict[str, Callable[..., Task]] = {f.__name__: f for f in (text_classification, token_classification, question_answering, summarization, translation)}
+def sentence_similarity() -> Task:
+    return Task("sentence_similarity", "Take a sentence of the text and write another one; say how alike they are, from 0 to 1.", "sentence1 string, sentence2 string, score double", ("sentence1", "sentence2", "score"))
+
+
+def fill_mask(mask: str = "[MASK]") -> Task:
+    return Task("fill_mask", f"Take a sentence of the text, put {mask} in place of one word, and give that word.", "masked string, answer string", ("masked", "answer"))
+
+
+def zero_shot_classification(labels: tuple[str, ...] = ("news", "opinion", "advice", "story")) -> Task:
+    return Task("zero_shot_classification", f"Say which of these labels fits the text best: {', '.join(labels)}.", "text string, candidate_labels array<string>, label string", ("text", "candidate_labels", "label"))
+
+
+def text_generation() -> Task:
+    return Task("text_generation", "Write a prompt that the text would answer, and the text as its answer.", "prompt string, completion string", ("prompt", "completion"))
+
+
+def text2text_generation() -> Task:
+    return Task("text2text_generation", "Write an instruction about the text, the text as its input, and the result.", "instruction string, input string, output string", ("instruction", "input", "output"))
+
+
+def feature_extraction() -> Task:
+    return Task("feature_extraction", "List the key words and the topic of the text.", "text string, keywords array<string>, topic string", ("text", "keywords"))
+
+
+TASKS: dict[str, Callable[..., Task]] = {
+    f.__name__: f
+    for f in (
+        text_classification, token_classification, question_answering, summarization, translation, sentence_similarity, fill_mask, zero_shot_classification, text_generation,
+        text2text_generation, feature_extraction,
+    )
+}
 
 
 def generate(texts: DataFrame, task: Task, client: Callable[[str], str | None], n: int, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -194,8 +194,13 @@ def clean_thai_charset(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", thai.clean_thai("text").alias("clean_text"))
 
 
-@query(rf"""
-with s as (select doc_id, unnest(string_split_regex(regexp_replace(text, '([.!?]){txt.WS}+', '\1' || chr(1), 'g'), chr(1))) as s, generate_subscripts(string_split_regex(regexp_replace(text, '([.!?]){txt.WS}+', '\1' || chr(1), 'g'), chr(1)), 1) as k from documents)
+def _stretches_sql(column: str) -> str:
+    """Texts cut after the white space that follows an ending mark; that white space goes."""
+    return f"list_transform(regexp_extract_all({column}, '(?s).*?[.!?]{txt.WS}+|.+\\z'), lambda s: regexp_replace(s, '([.!?]){txt.WS}+$', '\\1'))"
+
+
+@query(f"""
+with s as (select doc_id, unnest({_stretches_sql("text")}) as s, generate_subscripts({_stretches_sql("text")}, 1) as k from documents)
 select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as pos, regexp_replace(s, '^{txt.WS}+|{txt.WS}+$', '', 'g') as sentence from s where length(s) between 10 and 1000""")
 def sentences(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(txt.sentences("text")).alias("pos", "sentence"))
@@ -214,7 +219,13 @@ def chunks(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(txt.chunks("text")).alias("pos", "chunk"))
 
 
-@query()
+def _section_sql(name: str) -> str:
+    """The first match, whose lookahead may as well be read."""
+    opens, ends = (p.replace(r"\s", txt.WS).replace(rf"[\.{txt.WS}]", rf"[\.{txt.WS_CHARS}]") for p in txt.SECTIONS[name])
+    return f"regexp_replace(regexp_extract(text, '(?is)(?:{opens}){txt.WS}+(.+?)\n{txt.WS}*(?:{ends}|$)', 1), '^{txt.WS}+|{txt.WS}+$', '', 'g') as {name}"
+
+
+@query(f"select doc_id, {', '.join(map(_section_sql, txt.SECTIONS))} from documents")
 def sections(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", txt.sections("text").alias("s")).select("doc_id", "s.abstract", "s.introduction", "s.method", "s.results", "s.conclusion")
 
@@ -225,7 +236,7 @@ def word_counts(spark, sf_dir):
 
 
 @query(f"""
-with c as (select doc_id, trim({_TIGHT}) as t, text from documents), s as (select doc_id, unnest(string_split_regex(regexp_replace(t, '([.!?]){txt.WS}+', '\\1' || chr(1), 'g'), chr(1))) as s from c),
+with c as (select doc_id, trim({_TIGHT}) as t, text from documents), s as (select doc_id, unnest({_stretches_sql("t")}) as s from c),
 n as (select doc_id, count(*) as n from s where length(s) between 10 and 1000 group by doc_id)
 select doc_id, t as clean_text, len(regexp_extract_all(t, '[{txt.WORD_CHARS}]+|[^{txt.WORD_CHARS}{txt.WS_CHARS}]'))::bigint as word_count, coalesce(n, 0)::bigint as sentence_count from c left join n using (doc_id)""")
 def process_text(spark, sf_dir):
@@ -422,6 +433,49 @@ def summarization_quality(spark, sf_dir):
     return rounded(metrics.summarization_quality(turns(spark, sf_dir)))
 
 
+_TAGGED = _case([("coalesce(text, '') = '' or n < 1 or n_tags < 1", validate.MISSING["ner"]), ("n <> n_tags", validate.UNEQUAL), *_found("text", None)])
+
+
+@query(f"""
+with r as (select conv_id, turn, text, len(list_filter(string_split(text, ' '), lambda w: w <> '')) as n from conversations), s as (select *, case when turn % 4 = 3 then greatest(n - 1, 0) else n end as n_tags from r)
+select conv_id, turn, {_TAGGED} is null as is_valid, coalesce({_TAGGED}, '{validate.OK}') as reason from s""")
+def validate_ner(spark, sf_dir):
+    """Turns as tagged samples: a tag a word, one short in every fourth turn, and one entity."""
+    tokens = F.filter(F.split("text", " "), lambda w: w != "")
+    tags = F.transform(F.slice(tokens, F.lit(1), F.when(F.col("turn") % 4 == 3, F.greatest(F.size(tokens) - 1, F.lit(0))).otherwise(F.size(tokens))), lambda w: F.lit("O"))
+    entity = F.array(F.struct(F.lit("x").alias("entity"), F.lit("y").alias("type"), F.lit(0).alias("start"), F.lit(1).alias("end")))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", tokens.alias("tokens"), tags.alias("tags"), entity.alias("entities"))
+    return _reasons(rows.withColumn("v", validate.validate_sample("token_classification")), "conv_id", "turn")
+
+
+@query("""
+select page_id, regexp_replace(html, '<[^>]*>', '', 'g') as snippet from pages""")
+def search_snippets(spark, sf_dir):
+    """Page texts marked up as search results mark their words, and unmarked."""
+    plain = F.regexp_replace("html", "<[^>]*>", "")
+    marked = F.regexp_replace(plain, "(a+)", '<span class="searchmatch">$1</span>')
+    return table(spark, sf_dir, "pages").select("page_id", txt.strip_search_tags(marked).alias("snippet"))
+
+
+@query("select conv_id, turn, md5(case turn % 3 when 0 then text when 1 then 'article ' || text else role end) as text from conversations")
+def picked_texts(spark, sf_dir):
+    kind = F.col("turn") % 3
+    fields = [F.when(kind == 0, F.col("text")), F.when(kind == 1, F.concat(F.lit("article "), "text")), F.col("role")]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5(txt.pick_text(*fields)).alias("text"))
+
+
+@query(f"select count(*) filter (not ok) = 0 as is_valid from (select len(list_filter(string_split(text, chr(10)), lambda l: len({words_sql('l')}) = 1)) = 0 as ok from documents where text is not null)")
+def valid_conll(spark, sf_dir):
+    return files.validate(table(spark, sf_dir, "documents").where("text is not null"), "conll")
+
+
+@query("select conv_id, turn, turn % 2 = 0 and turn % 3 = 0 as is_complete from conversations")
+def complete_answers(spark, sf_dir):
+    """Answers of which every second has a label and every third a number."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.when(F.col("turn") % 2 == 0, "x").alias("label"), F.when(F.col("turn") % 3 == 0, 1).alias("label_id"))
+    return said.select("conv_id", "turn", validate.complete_response().alias("is_complete"))
+
+
 # Augmentation.
 
 #: A small synonym table for the queries.
@@ -448,17 +502,35 @@ def augment_synonym(spark, sf_dir):
     return _utterances(spark, sf_dir).select("id", augment.replace_synonyms("id", "text", 0.3, SYNONYMS).alias("text"))
 
 
-@query()
+_DELETED, _REPLACED = SQL["augment_delete"], SQL["augment_synonym"]
+#: Places drawn in order; each step changes the list that the one before left.
+_INSERTED = f"""
+with recursive c as ({_ROW_WORDS}),
+p as (select id, w, unnest(range(0, len(w))) as i from c),
+q as (select id, i, w[1 + floor({U.format("id || '|ins|0|' || i || '|word'")} * len(w))::int] as word from p where {U.format("id || '|ins|0|' || i")} < 0.1),
+r as (select id, i, {_SYN}[word][1 + floor({U.format("id || '|ins|0|' || i || '|pick'")} * len({_SYN}[word]))::int] as new from q),
+n as (select id, i, new, row_number() over (partition by id order by i) as k from r where new is not null),
+g as (select id, w, 1 as k from c union all select g.id, list_concat(list_append(w[1:n.i], n.new), w[n.i + 1:]), g.k + 1 from g join n on g.id = n.id and g.k = n.k)
+select id, array_to_string(arg_max(w, k), ' ') as text from g group by id"""
+_SWAPPED = f"""
+with recursive c as ({_ROW_WORDS}),
+p as (select id, w, unnest(range(0, len(w) - 1)) as i from c where len(w) > 1),
+n as (select id, i, floor({U.format("id || '|swap|0|' || i || '|to'")} * len(w))::int as j, row_number() over (partition by id order by i) as k from p where {U.format("id || '|swap|0|' || i")} < 0.1),
+g as (select id, w, 1 as k from c union all select g.id, list_transform(w, lambda x, spot: case when spot - 1 = n.i then w[n.j + 1] when spot - 1 = n.j then w[n.i + 1] else x end), g.k + 1 from g join n on g.id = n.id and g.k = n.k)
+select id, array_to_string(arg_max(w, k), ' ') as text from g group by id"""
+
+
+@query(_INSERTED)
 def augment_insert(spark, sf_dir):
     return _utterances(spark, sf_dir).select("id", augment.insert_words("id", "text", 0.1, SYNONYMS).alias("text"))
 
 
-@query()
+@query(_SWAPPED)
 def augment_swap(spark, sf_dir):
     return _utterances(spark, sf_dir).select("id", augment.swap_words("id", "text", 0.1).alias("text"))
 
 
-@query()
+@query(f"select id, text from ({_DELETED}) union select id, text from ({_REPLACED}) union select id, text from ({_INSERTED}) union select id, text from ({_SWAPPED})")
 def augment_all(spark, sf_dir):
     return augment.augment(_utterances(spark, sf_dir), SYNONYMS, key="id")
 

@@ -294,3 +294,46 @@ def test_one_array_over_many_splits(spark, tmp_path, indent):
     finally:
         for n, v in zip(names, before):
             spark.conf.set(n, v)
+
+
+# Neighbours.
+
+
+def test_neighbours(spark):
+    import math
+    from collections import Counter, defaultdict
+
+    from silkloom.operators import augment, neighbours
+
+    rng = random.Random(13)
+    animals, colours = ["dog", "cat", "horse"], ["red", "blue", "green"]
+    texts = [f"The {rng.choice(colours)} {rng.choice(animals)} eats {rng.choice(['grass', 'bread'])}, then a {rng.choice(animals)} sleeps." for _ in range(200)] + ["", None, "dog"]
+    got = neighbours.neighbours(spark.createDataFrame([(t,) for t in texts], "text string"), size=12, window=2, shift=1.2, top=3)
+    words = [[w for w in "".join(c if c.isalnum() else " " for c in (t or "").lower()).split()] for t in texts]
+    kept = {w for w, _ in sorted(Counter(w for t in words for w in t).items(), key=lambda x: (-x[1], x[0]))[:12]}
+    n = Counter()
+    for t in words:
+        for i in range(len(t)):
+            for j in range(i + 1, min(i + 3, len(t))):
+                if t[i] in kept and t[j] in kept:
+                    n[t[i], t[j]] += 1
+                    n[t[j], t[i]] += 1
+    of = Counter()
+    for (a, _), k in n.items():
+        of[a] += k
+    x = defaultdict(dict)
+    for (a, b), k in n.items():
+        v = math.log(k * sum(n.values()) / (of[a] * of[b])) - math.log(1.2)
+        if v > 0:
+            x[a][b] = v
+    size = {a: math.sqrt(sum(v * v for v in e.values())) for a, e in x.items()}
+    want = []
+    for a in x:
+        found = sorted((-round(sum(v * x[b].get(c, 0) for c, v in x[a].items()) / size[a] / size[b], 6), b) for b in x if b != a)
+        want += [(a, k, b, -s) for k, (s, b) in enumerate([f for f in found if -f[0] > 0.2][:3], 1)]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and want
+    table = neighbours.as_synonyms(got)
+    assert {"cat", "horse"} <= set(table["dog"])
+    text = spark.createDataFrame([(1, "a dog sleeps")], "doc_id long, text string").select(augment.replace_synonyms("doc_id", "text", 1.0, table)).first()[0]
+    assert text != "a dog sleeps" and len(text.split()) == 3
+    assert neighbours.neighbours(spark.createDataFrame([], "text string")).count() == 0

@@ -70,6 +70,16 @@ def test_html_text(spark):
     assert spark.createDataFrame([(page,)], "h string").select(txt.html_text("h")).first()[0] == "a & bc"
 
 
+def test_character_references(spark):
+    from html import unescape
+
+    texts = ["a &amp; b", "&lt;&#39;&#x27;&eacute;&hellip;&nbsp;x", "&amp;lt;", "& &; &x; &bogus; a&b", "&#8364;&#x1F600;&#3585;", "plain", "", "&NotEqualTilde; &fjlig;&AMP;", "&&amp;&"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", txt.unescape("t").alias("u"))
+    assert all(r.u == unescape(r.t) for r in df.collect())
+    odd = "&#0;&#xD800;&#1114112;&#9999999;"
+    assert spark.createDataFrame([(odd,)], "t string").select(txt.unescape("t")).first()[0] == odd
+
+
 def test_thai(spark):
     df = spark.createDataFrame([("ดี ๆ ใช้Sparkดี !",)], "text string")
     assert df.select(thai.fix_common_errors("text")).first()[0] == "ดีๆ ใช้ Spark ดี!"
