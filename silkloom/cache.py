@@ -16,14 +16,15 @@ from pyspark.sql import functions as F
 from silkloom.storage import ensure_checkpoint_dir
 
 COLUMNS = "key string, value string, timestamp timestamp"
-BUCKETS = 64
 
 
 class AnswerCache:
-    """key -> value, with an age at which an answer is no longer used (None: never)."""
+    """key -> value, with an age at which an answer is no longer used (None: never). A new table gets as many buckets as the
+    session has shuffle partitions, unless told otherwise."""
 
-    def __init__(self, spark: SparkSession, name: str, buckets: int = BUCKETS, ttl: str | None = None):
-        self.spark, self.name, self.buckets, self.ttl = spark, name, buckets, ttl
+    def __init__(self, spark: SparkSession, name: str, buckets: int | None = None, ttl: str | None = None):
+        self.spark, self.name, self.ttl = spark, name, ttl
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self._create(name)
 
     def _create(self, name: str) -> None:
