@@ -203,7 +203,10 @@ def test_generation(spark):
     rows = {r.doc_id: r for r in generation.generate(texts_df, generation.text_classification(), answer, 3).collect()}
     assert rows[1].sample.label == "positive" and rows[1].error is None
     assert "no" in rows[2].error and rows[3].error.startswith("Missing")
-    assert set(generation.TASKS) == {"text_classification", "token_classification", "question_answering", "summarization", "translation"}
+    named = "text_classification token_classification question_answering summarization translation sentence_similarity fill_mask zero_shot_classification text_generation text2text_generation feature_extraction"
+    assert set(generation.TASKS) == set(named.split())
+    for task in generation.TASKS.values():
+        assert set(task().required) <= set(spark.createDataFrame([], task().schema).columns)
 
 
 def obedient(prompt):
