@@ -4,17 +4,18 @@ Terms are runs of two or more letters, digits or underscores of the lower-cased
 tf * (ln((1 + n) / (1 + df)) + 1) at unit length. Texts with the same bag of terms are one class, with its number.
 With a global order of terms, rarest first, two vectors whose dot product reaches t share a term in the prefixes that
 leave less than t of each one's length: only those terms are joined on. The most frequent terms never enter a prefix of any
-ordinary text, so they cost nothing. Most candidates share one rare term by chance: each is weighed by the two vectors as arrays
-of hashed terms, which never gives less than the true product (two terms of one hash only add to it); what stays above the
-threshold, next to nothing but near duplicates, is then scored term by term.
+ordinary text, so they cost nothing.
+
+Most pairs that meet share one rare term by chance. What they have in common is bounded before it is scored: after the last
+term that their prefixes share, any other common term lies beyond the prefix that ends first. So it belongs to what that prefix
+leaves out of the one vector, and to what comes after the shared term in the other; by Cauchy-Schwarz the product is at most the
+sum over the shared terms plus the root of those two rests. Only pairs that can still reach t are scored in full.
 """
 
 from __future__ import annotations
 
 import unicodedata
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,28 +52,6 @@ def terms(text: Column | str, stopwords: tuple[str, ...] = ()) -> Column:
     return F.filter(found, lambda w: ~w.isin(*stopwords)) if stopwords else found
 
 
-def _above(threshold: float):
-    """Pairs (i, j) whose vectors, arrays of (hash, weight) by hash, have a product above the threshold or next to it."""
-
-    def vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        flat = column.flatten()
-        return column.offsets.to_numpy() - column.offsets[0].as_py(), flat.field("h").to_numpy(), flat.field("w").to_numpy()
-
-    def run(batches):
-        for b in batches:
-            (at_i, hash_i, w_i), (at_j, hash_j, w_j) = vectors(b.column("x")), vectors(b.column("y"))
-            keep = np.zeros(b.num_rows, bool)
-            for k in range(b.num_rows):
-                s, e, h = at_i[k], at_i[k + 1], hash_j[at_j[k] : at_j[k + 1]]
-                # Places of i's terms among those of j.
-                place = np.searchsorted(h, hash_i[s:e])
-                hit = h[np.minimum(place, len(h) - 1)] == hash_i[s:e]
-                keep[k] = (w_i[s:e][hit] * w_j[at_j[k] : at_j[k + 1]][place[hit]]).sum() > threshold - 1e-6
-            yield b.select(["i", "j"]).filter(pa.array(keep))
-
-    return run
-
-
 def text_classes(texts: DataFrame, key: str = "doc_id", text: str = "text", stopwords: tuple[str, ...] = ()) -> DataFrame:
     """key, class_id: the least key with the same bag of terms; texts without terms are left out."""
     bags = texts.select(key, F.sort_array(terms(text, stopwords)).alias("t")).where(F.size("t") > 0).select(key, F.sha2(F.array_join("t", " "), 256).alias("bag"))
@@ -97,17 +76,15 @@ def near_duplicates(texts: DataFrame, key: str = "doc_id", text: str = "text", t
     # What a term and the ones after it still hold of the length, in the global order.
     rest = F.sum(F.col("w") * F.col("w")).over(of_text.orderBy("df", "term").rowsBetween(Window.currentRow, Window.unboundedFollowing))
     prefix = unit.withColumn("rest", rest).where(F.col("rest") >= threshold * threshold - 1e-9)
-    a, b = prefix.select("term", F.col("id").alias("i")), prefix.select("term", F.col("id").alias("j"))
-    candidates = a.join(b, "term").where("i < j").select("i", "j").distinct()
-    # Weights of terms with one hash are added up, so that a hash stands once in a vector.
-    hashed = unit.groupBy("id", F.xxhash64("term").alias("h")).agg(F.sum("w").alias("w")).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("h", "w"))).alias("x"))
-    hashed = hashed.checkpoint()
-    sides = candidates.join(hashed.withColumnRenamed("id", "i"), "i").join(hashed.select(F.col("id").alias("j"), F.col("x").alias("y")), "j")
-    kind = unit.schema["id"].dataType.simpleString()
-    near = sides.select("i", "j", "x", "y").mapInArrow(_above(threshold), f"i {kind}, j {kind}").checkpoint()
+    prefix = prefix.withColumn("after", F.greatest(F.col("rest") - F.col("w") * F.col("w"), F.lit(0.0))).withColumn("left", F.min("after").over(of_text))
+    side = lambda n: prefix.select("term", F.col("id").alias(n), *(F.col(c).alias(f"{c}_{n}") for c in ("w", "after", "left")))
+    met = side("i").join(side("j"), "term").where("i < j").groupBy("i", "j")
+    met = met.agg(F.sum(F.col("w_i") * F.col("w_j")).alias("shared"), *(F.min(c).alias(c) for c in ("after_i", "after_j", "left_i", "left_j")))
+    most = F.col("shared") + F.sqrt(F.greatest(F.col("left_i") * F.col("after_j"), F.col("after_i") * F.col("left_j")))
+    candidates = met.where(most > threshold - 1e-9).select("i", "j")
     one = unit.select(F.col("id").alias("i"), "term", F.col("w").alias("wi"), F.col("m").alias("mi"))
     two = unit.select(F.col("id").alias("j"), "term", F.col("w").alias("wj"), F.col("m").alias("mj"))
-    scored = near.join(one, "i").join(two, ["j", "term"]).groupBy("i", "j", "mi", "mj").agg(F.sum(F.col("wi") * F.col("wj")).alias("similarity"))
+    scored = candidates.join(one, "i").join(two, ["j", "term"]).groupBy("i", "j", "mi", "mj").agg(F.sum(F.col("wi") * F.col("wj")).alias("similarity"))
     pairs = scored.where(F.col("similarity") > threshold).select("i", "j", "similarity", (F.col("mi") * F.col("mj")).alias("n_pairs"))
     return own.union(pairs)
 
