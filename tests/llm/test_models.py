@@ -299,7 +299,7 @@ def test_pipeline_decisions(spark):
 
 def test_registry():
     names = list(queries.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
     assert queries.oracle_sql().keys() <= set(names)
 
 
@@ -308,7 +308,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = queries.queries()[name](spark, DATA)
     order = sorted(got.columns)
