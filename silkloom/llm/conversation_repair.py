@@ -37,8 +37,8 @@ from silkloom.llm.common import hot_join, materialise
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
 #: ASCII white space, as in a character class.
 BLANK = r"\x20\x09-\x0D"
-#: Letters of a signature: faults in order, for each of the initials s, u, a and any other.
-INITIALS, FAULTS = "sua?", ("", "blank", "duplicate", "truncated")
+#: Letters of a signature: no fault, blank, duplicate and truncated, each for the initials s, u, a and any other.
+INITIALS = "sua?"
 LETTERS = "suaoSUAOwxyzWXYZ"
 NEVER = 1 << 30
 #: States of the grammar: 0 nothing yet, 1 after the system's row, 2 after a user's, 3 after an assistant's.

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from silkloom.llm import (
     bpe_codec, centroid_clusters, conversation_repair, embedding_dedup, html_extract, image_copies, language_id, license_scan, sentencepiece_codec, simhash, source_mix,
