@@ -6,6 +6,10 @@ characters go this way; the strings of longer ones would be too many, so those a
 edits leave one unchanged and at most d places from where it stood: a longer dictionary word is listed by its parts, and a
 word looks for them at all those places. Both ways are exact; a pair of words goes the way of its dictionary word.
 
+Nearly all strings of the words that are looked up are none of the dictionary's. A filter of a fixed size (one bit for each hash
+of a dictionary string, 8 MB) drops most of them before they are shuffled; it never drops one that meets, and when a dictionary
+is so large that it fills up, it only drops less.
+
 The number of errors allowed grows with the word looked up: none below 3 characters, 1 up to 7, 2 from 8 on. Null and empty
 words find nothing. Repeated words are looked up once.
 """
@@ -14,6 +18,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +27,8 @@ from silkloom.functions.text import WORD_CHARS, as_column
 from silkloom.storage import ensure_checkpoint_dir
 
 SHORT, ERRORS = 20, 2
+#: Bits of the filter, and of one of its blocks (that of Spark's bitmap functions).
+FILTER, BLOCK = 1 << 26, 32768
 
 
 def allowed_errors(word: Column | str) -> Column:
@@ -43,6 +51,27 @@ def deletions(word: Column | str, errors: int) -> Column:
     return found
 
 
+def _bits(keys: DataFrame) -> np.ndarray:
+    """FILTER bits, set at the keys' places: made by partial aggregation, 8 MB on the driver whatever their number."""
+    place = F.pmod("key", F.lit(FILTER))
+    of = keys.select((place / BLOCK).cast("long").alias("block"), (place % BLOCK).alias("bit")).groupBy("block").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    bits = np.zeros(FILTER // 8, np.uint8)
+    for r in of.collect():
+        bits[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _met(bits: np.ndarray):
+    """Rows whose key may be one of the dictionary's."""
+
+    def run(batches):
+        for b in batches:
+            place = b.column("key").to_numpy() % FILTER
+            yield b.filter(pa.array((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)))
+
+    return run
+
+
 def _exploded(rows: DataFrame, keys: Callable[[Column, int], Column], errors: Column, word: str) -> DataFrame:
     """rows for each key of their word, as many errors allowed as told."""
     cases = F.when(errors == 0, keys(F.col(word), 0))
@@ -81,6 +110,7 @@ def _places(word: Column, errors: int) -> Column:
 
 def lookup(unknown: DataFrame, dictionary: DataFrame, word: str = "word", known: str = "known") -> DataFrame:
     """word, known, distance: for each distinct word all dictionary words within the errors allowed."""
+    ensure_checkpoint_dir(unknown.sparkSession)  # the dictionary's keys are read twice
     asked = unknown.select(F.col(word).alias("word")).where("word <> ''").distinct().withColumn("errors", allowed_errors("word"))
     listed = dictionary.select(F.col(known).alias("known")).where("known <> ''").distinct()
     size = F.length("known")
@@ -93,7 +123,8 @@ def lookup(unknown: DataFrame, dictionary: DataFrame, word: str = "word", known:
     for words_, sides, keys in ((short, near, deletions), (long, far, _places)):
         # Keys travel as hashes: two keys of one hash give a pair more, which its distance rules out.
         side = sides[0].unionByName(sides[1]).unionByName(sides[2]).select("known", F.xxhash64("errors", "key").alias("key"))
-        probes = _exploded(words_, keys, F.col("errors"), "word").drop("errors")
+        side = side.checkpoint()
+        probes = _exploded(words_, keys, F.col("errors"), "word").select("word", "key").mapInArrow(_met(_bits(side)), "word string, key long")
         near_enough = probes.join(side, "key").withColumn("distance", F.levenshtein("word", "known")).where(F.col("distance") <= allowed_errors("word"))
         pairs.append(near_enough.select("word", "known", "distance"))
     return pairs[0].unionByName(pairs[1]).distinct()
