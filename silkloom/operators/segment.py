@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,14 +23,25 @@ from pyspark.sql import functions as F
 from silkloom.functions import thai
 from silkloom.operators.entities import collected
 
-#: Consonant clusters of the Thai block: leading vowels; vowels and marks that belong to what stands before them.
-_LEADS, _FOLLOWS = "\u0e40-\u0e44", "\u0e30-\u0e3a\u0e45\u0e47-\u0e4e"
+#: Code points of the Thai block: vowels that stand before their consonant; vowels and marks that belong to what stands before
+#: them, combining marks of other scripts included.
+_LEADS, _FOLLOWS = (0xE40, 0xE44), ((0xE30, 0xE3A), (0xE45, 0xE45), (0xE47, 0xE4E), (0x300, 0x36F))
 _THAI = re.compile("[\u0e00-\u0e7f]")
-#: A cluster: a leading vowel and what it leads, or any character, with what follows.
-CLUSTER = re.compile(f"(?:[{_LEADS}][^{_FOLLOWS}{_LEADS}]|.)[{_FOLLOWS}\u0300-\u036f]*", re.DOTALL)
 RUN = re.compile(r"\S+")
 
 
+def borders(run: str) -> list[int]:
+    """Where the character clusters of a run begin."""
+    points = np.frombuffer(run.encode("utf-32-le"), np.uint32)
+    starts = np.ones(len(points), bool)
+    for low, high in _FOLLOWS:
+        starts &= (points < low) | (points > high)
+    lead = (points >= _LEADS[0]) & (points <= _LEADS[1])
+    starts[1:] &= ~lead[:-1] | lead[1:]
+    starts[:1] = True
+    return np.flatnonzero(starts).tolist()
+
+
 class Segmenter:
     """Words of a run by the lattice of a dictionary's words."""
 
@@ -46,33 +58,24 @@ class Segmenter:
 
     def run(self, run: str) -> list[tuple[str, bool]]:
         n = len(run)
+        starts = borders(run)
         border = bytearray(n + 1)
-        nexts = [0] * (n + 1)
-        for m in CLUSTER.finditer(run):
-            border[m.start()] = 1
-            nexts[m.start()] = m.end()
+        for i in starts:
+            border[i] = 1
         border[n] = 1
-        sizes: list[list[int] | None] = [None] * n
+        sizes: dict[int, list[int]] = {}
         for last, size in self.automaton.iter(run) if len(self.automaton) else ():
-            start = last + 1 - size
-            if border[start] and border[last + 1]:
-                if sizes[start] is None:
-                    sizes[start] = []
-                sizes[start].append(size)
-        # From the end: (unknown characters, words) of the best way on, and its first step; a step below 0 is an unknown cluster.
-        cost: list[tuple[int, int]] = [(0, 0)] * (n + 1)
-        step = [0] * n
-        for i in range(n - 1, -1, -1):
-            if not border[i]:
-                continue
-            size = nexts[i] - i
-            unknown, count = cost[i + size]
-            best, chosen = (unknown + size, count), -size
-            for size in sizes[i] or ():
-                unknown, count = cost[i + size]
-                if (unknown, count + 1) <= best:  # sizes grow, so a longer word wins a tie
-                    best, chosen = (unknown, count + 1), size
-            cost[i], step[i] = best, chosen
+            if border[last + 1] and border[start := last + 1 - size]:
+                sizes.setdefault(start, []).append(size)
+        # From the end: what the best way on costs, an unknown character more than any number of words, and its first step; a
+        # step below 0 is an unknown cluster.
+        cost, step, after = [0] * (n + 1), [0] * n, n
+        for i in reversed(starts):
+            best, chosen = cost[after] + (after - i << 32), i - after
+            for size in sizes.get(i, ()):
+                if cost[i + size] < best:  # sizes grow, so a longer word wins a tie
+                    best, chosen = cost[i + size] + 1, size
+            cost[i], step[i], after = best, chosen, i
         found: list[tuple[str, bool]] = []
         i = 0
         while i < n:

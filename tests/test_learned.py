@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -141,8 +142,9 @@ def test_names_are_bounded(spark):
 
 def ways(run, words):
     """Every way to cut a run into dictionary words and single clusters, at cluster borders."""
-    borders = {m.start() for m in segment.CLUSTER.finditer(run)} | {len(run)}
-    steps = {m.start(): m.end() for m in segment.CLUSTER.finditer(run)}
+    cluster = "(?s)(?:[@-@][^#@-@]|.)[#]*".replace("@-@", f"{chr(0xE40)}-{chr(0xE44)}").replace("#", "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xE30, 0xE3A), (0xE45, 0xE45), (0xE47, 0xE4E), (0x300, 0x36F))))
+    borders = {m.start() for m in re.finditer(cluster, run)} | {len(run)}
+    steps = {m.start(): m.end() for m in re.finditer(cluster, run)}
 
     def go(i):
         if i == len(run):
