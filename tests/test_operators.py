@@ -121,6 +121,37 @@ def test_near_duplicates_equal_brute_force(spark):
     assert similarity.redundancy(df.limit(1)).first().redundancy_rate == 0.0
 
 
+def test_near_duplicates_of_many_blocks_equal_brute_force(spark, monkeypatch):
+    """Blocks of a few texts, frequencies of a few terms sent to the tasks, parts of a few pairs: the same pairs."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(2, 4) for _ in range(rng.randint(1, 40))) for _ in range(40)]
+    texts += [" ".join(w for w in t.split() if rng.random() > 0.05) for t in texts] + texts[:5]
+    monkeypatch.setattr(similarity, "BLOCK", 150)
+    monkeypatch.setattr(similarity, "FREQUENT", 7)
+    monkeypatch.setattr(similarity, "CELLS", 50)
+    got = {(r.i, r.j): (round(r.similarity, 6), r.n_pairs) for r in similarity.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    bags = {}
+    for k, t in enumerate(texts):
+        if t:
+            bags.setdefault(tuple(sorted(t.split())), []).append(k)
+    df = Counter(w for bag, ks in bags.items() for w in set(bag) for _ in ks)
+    vectors = {}
+    for bag, ks in bags.items():
+        w = {t: n * (math.log((1 + len(texts)) / (1 + df[t])) + 1) for t, n in Counter(bag).items()}
+        size = math.sqrt(sum(x * x for x in w.values()))
+        vectors[ks[0], len(ks)] = {t: x / size for t, x in w.items()}
+    want = {(i, i): (1.0, m * (m - 1) // 2) for i, m in vectors if m > 1}
+    for (i, m), a in vectors.items():
+        for (j, n), b in vectors.items():
+            if i < j and (s := sum(x * b.get(t, 0.0) for t, x in a.items())) > similarity.THRESHOLD:
+                want[i, j] = (round(s, 6), m * n)
+    assert got == want and sum(i < j for i, j in want) > 20 and similarity.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_graph(spark):
     answers = {"root": "is_a: thing\npart_of: whole", "thing": "is_a: root\nrelated_to: far", "far": "is_a: deeper"}
 
