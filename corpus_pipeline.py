@@ -3,7 +3,7 @@
 1. language_id    drops documents without a letter and those whose two best languages are too close to call;
                   a missing lang is filled in.
 2. simhash_dedup  keeps the document of smallest id of each group of near copies: links at a Jaccard similarity of
-                  five-word shingles of 0.8 or more. The stage keeps its name; fingerprints are op2's alone.
+                  five-word shingles of 0.8 or more, found by SimHash fingerprints and checked exactly.
 3. substring_dedup cuts passages of 20 words and more that also start earlier; documents left empty go.
 4. source_mix     samples documents so that source, language and topic meet their target shares of tokens.
 5. sentencepiece  encodes each text, decodes it again and returns ids and digests in place of the text.

@@ -1,14 +1,19 @@
-"""Near copies by the Jaccard similarity of five-word shingles: links at SIMILAR or more, decided on the whole sets.
+"""Near copies by SimHash and the Jaccard similarity of five-word shingles: links at SIMILAR or more, decided on the whole sets.
 
 A text's set holds the XXH64 values (seed 42) of its runs of K words, in lower case (ASCII); a text below K words has
 its whole word sequence as only shingle. Texts of equal sets are one class, named by 64 bits of a digest of the set, and
 only classes are compared.
 
-Candidates come from MinHash: BANDS keys of ROWS minima each. A pair of similarity s shares a key but for a chance of
+Candidates come from SimHash: a set's fingerprint has the bits that are set in over half of its values, and the covering
+tables of `simhash` give a spanning forest of the fingerprints that differ in RADIUS bits at most. Each of its links, and each
+class with the first one of its fingerprint, is decided by the whole sets. Fingerprints lie further apart than that for most pairs
+near 0.8 (nearly ten bits of 64 on average), so an exact check follows between the components that they leave.
+
+That check has BANDS keys of ROWS minima each. A pair of similarity s shares a key but for a chance of
 (1 - s^ROWS)^BANDS: 5e-8 at 0.8, less above; the similarity itself then decides, so no pair below 0.8 links. In a
-bucket every class is first compared with a head drawn from the bucket, if their sizes allow 0.8 at all. What is linked
-by then is one component; buckets that hold several are read with their sets, in lists of about LIST_BYTES, and each
-class outside a list's largest component is counted against the whole list by shared shingles. So every pair that
+bucket every class is first compared with a head of another component drawn from the bucket, if their sizes allow 0.8 at all.
+What is linked by then is one component; buckets that hold several are read with their sets, in lists of about LIST_BYTES, and
+each class outside a list's largest component is counted against the whole list by shared shingles. So every pair that
 shares a bucket is decided or already joined, a group of copies costs a row a class and band, and pairs are never rows.
 
 Null, empty and blank texts have the empty set and are one class. Repeated ids give repeated rows; rows of a null key
@@ -26,8 +31,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkloom.llm.common import connected_components, hot_join, materialise, sliced
+from silkloom.llm.simhash import BITS, covering_links
 
 K, BANDS, ROWS = 5, 32, 4
+#: Bits in which fingerprints of candidates differ at most.
+RADIUS = 3
 #: Bytes of sets that are one side of a list.
 LIST_BYTES = 4 << 20
 #: Least Jaccard similarity of a link, as a fraction.
@@ -50,6 +58,15 @@ def class_of(found: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash fingerprint of a set as a signed integer; 0 for the empty set."""
+    ones = np.zeros(BITS, np.int64)
+    for start in range(0, len(found), 65536):
+        part = found[start : start + 65536]
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little", signed=True)
+
+
 def band_keys(found: np.ndarray) -> np.ndarray:
     """The BANDS keys of a set as signed longs; none for the empty set."""
     if not len(found):
@@ -75,8 +92,8 @@ def _classed(batches):
         keys = [band_keys(x) for x in found]
         ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
         bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-        nodes, sizes = pa.array([class_of(x) for x in found], pa.int64()), pa.array([len(x) for x in found], pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0), nodes, sizes, bands], names=["key", "node", "size", "bands"])
+        nodes, sizes, fps = (pa.array([f(x) for x in found], pa.int64()) for f in (class_of, len, fingerprint))
+        yield pa.RecordBatch.from_arrays([b.column(0), nodes, sizes, fps, bands], names=["key", "node", "size", "fp", "bands"])
 
 
 def _sets(batches):
@@ -146,6 +163,17 @@ def _links(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     return materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"))
 
 
+def _fingerprint_pairs(classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that hold together the fingerprints within RADIUS bits: a forest of the fingerprints, each named by
+    its first class, and every class with the first one of its fingerprint."""
+    least = materialise(classes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")))
+    near = covering_links(least.select("fp"), RADIUS)
+    one, two = (least.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")) for c in "ab")
+    across = near.join(one, "a").join(two, "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    same = hot_join(classes.select("fp", "node"), least, "fp", "n", how="inner").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    return across.union(same).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
 def _links_apart(shared: DataFrame, links: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
     """What links the components of each bucket that holds several."""
     parts = connected_components(links).withColumnRenamed("node", "__node")
@@ -168,19 +196,23 @@ def _fits(x: str, y: str):
 def near_copy_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, node (class of equal sets), component_id (smallest key reachable by links)."""
     chosen = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
-    known = materialise(chosen.mapInArrow(_classed, f"key {docs.schema[key].dataType.simpleString()}, node long, size long, bands array<long>"))
+    known = materialise(chosen.mapInArrow(_classed, f"key {docs.schema[key].dataType.simpleString()}, node long, size long, fp long, bands array<long>"))
     total = known.count()
-    classes = materialise(known.groupBy("node").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
+    classes = materialise(known.groupBy("node").agg(F.min("key").alias("rep"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.count("*").alias("copies")))
     reps = classes.select("node", "rep")
-    entries = classes.select(F.explode("bands").alias("bucket"), "node", "size")
-    several = materialise(entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    shared = materialise(hot_join(entries, several, "bucket", "n", classes.count() * BANDS, "inner"), (several,))
+    near = _links(_fingerprint_pairs(classes), reps, chosen)
+    # What fingerprints leave apart.
+    joined = connected_components(near).withColumnRenamed("node", "__node")
+    named = classes.join(joined, F.col("node") == F.col("__node"), "left").select(F.explode("bands").alias("bucket"), "node", "size", F.coalesce("component", "node").alias("part"))
+    entries = materialise(named)
+    several = materialise(entries.groupBy("bucket").agg(F.count("*").alias("n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("bucket", "n"))
+    shared = materialise(hot_join(entries, several, "bucket", "n", classes.count() * BANDS, "inner"), (several, entries))
     # A head is any class of the bucket, another one in each: a copy far from one head is near to others.
-    drawn = shared.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node"), "node", "size")).alias("h"), F.count("*").alias("n"))
-    heads = materialise(drawn.select("bucket", F.col("h.node").alias("head"), F.col("h.size").alias("hsize"), "n"))
-    pairs = hot_join(shared, heads, "bucket", "n", how="inner").where("node <> head").where(_fits("size", "hsize"))
-    links = _links(pairs.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")), reps, chosen)
-    links = links.union(_links_apart(shared, links, reps, chosen))
+    drawn = shared.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("bucket", "node"), "node", "size", "part")).alias("h"), F.count("*").alias("n"))
+    heads = materialise(drawn.select("bucket", F.col("h.node").alias("head"), F.col("h.size").alias("hsize"), F.col("h.part").alias("hpart"), "n"))
+    pairs = hot_join(shared, heads, "bucket", "n", how="inner").where("part <> hpart").where(_fits("size", "hsize"))
+    links = near.union(_links(pairs.select(F.least("head", "node").alias("a"), F.greatest("head", "node").alias("b")), reps, chosen))
+    links = links.union(_links_apart(shared.drop("part"), links, reps, chosen))
     parts = connected_components(links).withColumnRenamed("component", "part")
     named = materialise(classes.select("node", "rep", "copies").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")))
     least = materialise(named.groupBy("part").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))

@@ -141,6 +141,26 @@ def test_pipeline_stage_finds_all_near_copies(spark, monkeypatch, list_bytes):
     assert sorted(r.doc_id for r in left.collect()) == sorted(i for i in ids if part[i] == i)
 
 
+def test_pipeline_stage_links_by_fingerprints(spark):
+    """Without the check that follows, all pairs of fingerprints within the radius that are similar are joined, and no others."""
+    rng = random.Random(4)
+    texts = ["", "one two", "One two"]
+    for _ in range(30):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.choice([8, 200, 600]))]
+        texts += [" ".join(base[: len(base) - n]) for n in (0, 1, 2)]
+    sets = [near_copies.shingles(t) for t in texts]
+    fps = [near_copies.fingerprint(s) for s in sets]
+    for s, fp in zip(sets, fps):
+        ones = [sum(int(h) >> bit & 1 for h in s) for bit in range(64)]
+        assert fp % (1 << 64) == sum(1 << bit for bit, n in enumerate(ones) if 2 * n > len(s))
+    nodes = [near_copies.class_of(s) for s in sets]
+    rows = [(n, f) for n, f in sorted({*zip(nodes, fps)})]
+    got = {tuple(sorted(r)) for r in near_copies._fingerprint_pairs(near_copies.materialise(spark.createDataFrame(rows, "node long, fp long"))).collect()}
+    near = {(a, b) for a, x in rows for b, y in rows if a < b and ((x ^ y) % (1 << 64)).bit_count() <= near_copies.RADIUS}
+    part = lambda pairs: least_reachable([n for n, _ in rows], list(pairs))
+    assert len(near) > 10 and got <= near and part(got) == part(near)
+
+
 def test_pairs_apart_in_a_list():
     rng = np.random.default_rng(8)
     sets = [np.unique(rng.integers(0, 40, 60).astype(np.uint64)) for _ in range(80)]
