@@ -46,11 +46,13 @@ def fix_unicode(text: Column | str) -> Column:
 
 def tonal_metrics(text: Column | str) -> Column:
     """Struct: count of each tone, words without one, counts by word, and 4 / words (0 without words)."""
-    raw, words = as_column(text), tokens(text)
-    n = F.size(words)
-    counts = [F.regexp_count(raw, F.lit(t)).cast("long") for t in TONES]
+    raw, tones = as_column(text), "".join(TONES)
+    # A word is counted where it stands; with a tone mark, from its first one on, so once.
+    n = F.regexp_count(raw, F.lit(f"{NOT_WS}+"))
+    toned = F.regexp_count(raw, F.lit(f"[{tones}]{NOT_WS}*"))
+    counts = [(F.length(raw) - F.length(F.replace(raw, F.lit(t), F.lit("")))).cast("long") for t in TONES]
     per_word = lambda c: F.when(n > 0, c / n).otherwise(0.0)
-    toneless = F.size(F.filter(words, lambda w: ~w.rlike(f"[{''.join(TONES)}]"))).cast("long")
+    toneless = (n - toned).cast("long")
     return F.struct(
         *(c.alias(f"tone_{i}") for i, c in enumerate(counts, 1)), toneless.alias("no_tone_words"),
         *(per_word(c).alias(f"tone_{i}_ratio") for i, c in enumerate(counts, 1)), per_word(F.lit(float(len(TONES)))).alias("tonal_complexity_score"),

@@ -124,3 +124,17 @@ def test_chunks_of_long_words_and_control_characters(spark):
         assert got == {i: plain_chunks(t, size, overlap) for i, t in enumerate(texts)}
     one = spark.createDataFrame([("a text with \x01 in it. And one more!",)], "t string")
     assert one.select(txt.sentences("t")).first()[0] == ["a text with \x01 in it.", "And one more!"]
+
+
+def test_tones_are_counted_without_lists_of_words(spark):
+    from silkloom.functions import thai
+
+    texts = ["", " ", "\u0e48", "a\u0e48b\u0e49\u0e49 c\u3000d\u0e4b\n e ", "ab", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").select("id", thai.tonal_metrics("text").alias("s"))
+    for r in df.collect():
+        words = (texts[r.id] or "").split()
+        if texts[r.id] is not None:
+            assert [r.s[f"tone_{i}"] for i in range(1, 5)] == [texts[r.id].count(t) for t in thai.TONES]
+            assert r.s.no_tone_words == sum(not any(t in w for t in thai.TONES) for w in words)
+        assert r.s.tonal_complexity_score == (4 / len(words) if words else 0.0)
+    assert "lambda" not in df._jdf.queryExecution().optimizedPlan().toString()
