@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -106,7 +107,7 @@ def train(x: np.ndarray, y: list[str], steps: int = 300, rate: float = 4.0, deca
     share = (1 / np.maximum(np.bincount(index, minlength=len(languages)), 1))[index].astype(np.float32)
     share /= max(float(share.sum()), 1e-9)
     goal = code[index].astype(np.float32) if len(index) else np.zeros((0, code.shape[1]), np.float32)
-    x = x.astype(np.float32)
+    x = x.astype(np.float32, copy=False)
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb = np.zeros_like(w), np.zeros_like(b)
     for _ in range(steps if len(languages) > 1 else 0):
@@ -141,9 +142,15 @@ def fit(docs: DataFrame, usable: Column, key: str = "doc_id", text: str = "text"
     got = chosen.select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
     if not got.num_rows:
         return train(np.zeros((0, FEATURES), np.float32), [])
-    # Ordered by its bytes, so that the fit does not depend on how the rows were spread.
-    rows = sorted(zip(got.column("lang").to_pylist(), got.column("x").to_pylist(), strict=True))
-    return train(np.stack([np.frombuffer(x, np.float16) for _, x in rows]), [v for v, _ in rows])
+    # Ordered by its bytes, so that the fit does not depend on how the rows were spread; held once as Arrow has it and once as numbers.
+    order = pc.sort_indices(got, [("lang", "ascending"), ("x", "ascending")]).to_numpy()
+    names, found = got.column("lang").to_pylist(), got.column("x")
+    x = np.empty((len(order), FEATURES), np.float32)
+    for row, at in enumerate(order):
+        x[row] = np.frombuffer(found[at].as_buffer(), np.float16)
+    del got, found
+    pa.default_memory_pool().release_unused()
+    return train(x, [names[at] for at in order])
 
 
 def prediction(model: Model, text: Column | str = "text", lead: float = 0.2) -> Column:
