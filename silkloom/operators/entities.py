@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from silkloom.operators.metrics import entity_coverage
+from silkloom.storage import delete, stored
 
 NAMES, BYTES = 500_000, 32_000_000
 SPANS = "array<struct<start:int,end:int,type:string>>"
@@ -24,11 +25,15 @@ SPANS = "array<struct<start:int,end:int,type:string>>"
 def collected(rows: DataFrame, *columns: str, most: int = NAMES, size: int = BYTES) -> list[tuple]:
     """The distinct rows of a small table on the driver, ValueError if it isn't small."""
     chosen = rows.select(*(F.col(c).cast("string") for c in columns)).where(F.col(columns[0]) != "").distinct()
-    # Counted where it lies, before any of it comes to the driver.
-    n, used = chosen.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(columns[0])), F.lit(0))).first()
-    if n > most or used > size:
-        raise ValueError(f"{n} rows of {used} bytes; at most {most} of {size} are sent to the tasks")
-    return [tuple(r) for r in chosen.collect()]
+    # Worked out once, and counted where it lies, before any of it comes to the driver.
+    table, path = stored(chosen)
+    try:
+        n, used = table.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(columns[0])), F.lit(0))).first()
+        if n > most or used > size:
+            raise ValueError(f"{n} rows of {used} bytes; at most {most} of {size} are sent to the tasks")
+        return [tuple(r) for r in table.collect()]
+    finally:
+        delete(rows.sparkSession, path)
 
 
 def _of_word(c: str) -> bool:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -183,6 +184,38 @@ def test_segments_equal_brute_force(letters):
             assert s.words(run) == best_way(run, words), (run, words)
 
 
+def test_segmenter_by_the_model_equals_the_lattice_and_is_faster():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = ["".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 12))]
+        s = segment.Segmenter(words)
+        for _ in range(20):
+            run = "".join(rng.choice("abcéx😀") for _ in range(rng.randint(1, 40)))
+            assert s.run(run) == s.lattice(run)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(5000)]
+    s, run = segment.Segmenter(words), "".join(rng.choice(words) for _ in range(20_000))
+    took = []
+    for split in (s.run, s.lattice):
+        split(run[:100])
+        began = time.process_time()
+        took.append((split(run), time.process_time() - began))
+    assert took[0][0] == took[1][0] and took[0][1] < 0.6 * took[1][1]
+
+
+def test_a_dictionary_is_worked_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def noted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(50).select(F.concat(F.lit("w"), F.col("id")).alias("word")).mapInArrow(noted, "word string")
+    assert sorted(entities.collected(rows, "word")) == sorted((f"w{i}",) for i in range(50)) and seen.value == 50
+    with pytest.raises(ValueError):
+        entities.collected(rows, "word", most=49)
+
+
 def test_documents_without_blanks(spark):
     """Texts of a dictionary's words, blanks taken out, row by row."""
     rng = random.Random(5)
