@@ -9,16 +9,20 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from xml.etree import ElementTree
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from silkloom.functions.text import strip, tokens
+from silkloom.functions.text import WS_CHARS, strip, tokens
 from silkloom.operators.augment import sample_rows
 from silkloom.operators.metrics import corpus_metadata
 
 DATA_TYPE = "text"
+#: White space within a line.
+_BLANK = f"[{WS_CHARS}&&[^\n]]"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -29,8 +33,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def conll_blocks(content: Column) -> Column:
     """The blocks of a CoNLL text: stripped lines between blank ones, joined by a newline."""
-    lines = F.transform(F.split(content, "\r\n|\r|\n"), strip)
-    joined = F.array_join(lines, "\n")
+    # White space at either end of a line goes in one pass over the text, not line by line.
+    joined = F.regexp_replace(F.regexp_replace(content, "\r\n|\r", "\n"), rf"(?<![^\n]){_BLANK}++|(?<!{_BLANK}){_BLANK}++(?![^\n])", "")
     return F.filter(F.transform(F.split(joined, "\n{2,}"), strip), lambda b: b != "")
 
 
@@ -82,14 +86,16 @@ class _Cutter:
     """Units of the splits of files, whose pieces (lines, or what stands between commas) come in order.
 
     What lies before the first end of a unit in a split and after the last one may go on in the splits beside it: such edges
-    are marked, and null where they have no piece. A split in which no unit ends is one edge.
+    are marked, and null where they have no piece. A split in which no unit ends is one edge. `inner` asks for units of the one
+    kind only.
     """
 
-    def __init__(self, separator: str):
-        self.separator, self.split, self.pieces, self.cut, self.found = separator, None, [], False, []
+    def __init__(self, separator: str, inner: bool | None = None):
+        self.inner, self.separator, self.split, self.pieces, self.cut, self.found = inner, separator, None, [], False, []
 
     def _add(self, edge: int) -> None:
-        self.found.append((*self.split, edge, self.separator.join(self.pieces) if self.pieces else None))
+        if self.inner is None or self.inner == (edge == 0):
+            self.found.append((*self.split, edge, self.separator.join(self.pieces) if self.pieces else None))
         self.pieces = []
 
     def at(self, path: str, start: int) -> bool:
@@ -119,18 +125,49 @@ def _rows(batch):
     return zip(*(batch.column(c).to_pylist() for c in ("path", "start", "value")))
 
 
-def _cut_at_blanks(batches):
-    cutter = _Cutter("\n")
-    for b in batches:
-        for path, start, line in _rows(b):
-            cutter.at(path, start)
-            if line.strip():
-                cutter.pieces.append(line)
-            else:
-                cutter.end()
+#: First bytes of the characters that are white space.
+_LEADS = np.isin(np.arange(256), [*range(9, 14), *range(28, 33), 0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def _blank(lines: pa.Array) -> np.ndarray:
+    """Which lines hold white space only."""
+    raw = lines.cast(pa.large_string())
+    at = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset : raw.offset + len(raw) + 1]
+    found = at[1:] == at[:-1]
+    some = np.flatnonzero(~found)
+    if len(some):
+        some = some[_LEADS[np.frombuffer(raw.buffers()[2], np.uint8)[at[some]]]]
+        found[some] = [not x.strip() for x in lines.take(pa.array(some)).to_pylist()]
+    return found
+
+
+def _cut_at_blanks(inner: bool):
+    """The inner blocks of the splits, or their edges. Lines are joined by Arrow; Python sees blocks."""
+
+    def run(batches):
+        cutter = _Cutter("\n", inner)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            path, start, lines = (b.column(c) for c in ("path", "start", "value"))
+            starts, blank, first = start.to_numpy(), _blank(lines), np.ones(b.num_rows, bool)
+            first[1:] = (starts[1:] != starts[:-1]) | pc.not_equal(path.slice(1), path.slice(0, len(path) - 1)).to_numpy(zero_copy_only=False)
+            begins = ~blank & (first | np.concatenate([[True], blank[:-1]]))
+            kept = lines.filter(pa.array(~blank))
+            ends = [*(np.cumsum(~blank) - 1)[begins].tolist(), len(kept)]
+            pieces = iter(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), kept), "\n").to_pylist())
+            for i in np.flatnonzero(first | blank | begins).tolist():
+                if first[i]:
+                    cutter.at(path[i].as_py(), int(starts[i]))
+                if blank[i]:
+                    cutter.end()
+                else:
+                    cutter.pieces.append(next(pieces))
+            yield cutter.batch()
+        cutter.close()
         yield cutter.batch()
-    cutter.close()
-    yield cutter.batch()
+
+    return run
 
 
 def _outside(piece: str) -> tuple[int, int, int]:
@@ -186,14 +223,14 @@ def _cut_at_commas(begins: dict[tuple[str, int], tuple[int, int]]):
     return run
 
 
-def _units(cut: DataFrame, separator: str) -> DataFrame:
+def _units(inner: DataFrame, edges: DataFrame, separator: str) -> DataFrame:
     """c: the units of all splits. Inner ones as they are; the edges, two rows a split, are put together in order: a tail, splits
     in which no unit ends, and the head that ends them."""
     order = Window.partitionBy("path").orderBy("start", "edge")
-    edges = cut.where("edge > 0").withColumn("nth", F.sum(F.when(F.col("edge") == _TAIL, 1).otherwise(0)).over(order))
+    edges = edges.withColumn("nth", F.sum(F.when(F.col("edge") == _TAIL, 1).otherwise(0)).over(order))
     joined = edges.groupBy("path", "nth").agg(F.array_sort(F.collect_list(F.struct("start", "edge", "unit"))).alias("e"))
     whole = joined.select(F.array_join(F.filter(F.transform("e", lambda x: x["unit"]), lambda x: x.isNotNull()), separator).alias("c"))
-    return cut.where("edge = 0").select(F.col("unit").alias("c")).unionByName(whole)
+    return inner.select(F.col("unit").alias("c")).unionByName(whole)
 
 
 def _pieces(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
@@ -204,7 +241,8 @@ def _pieces(spark: SparkSession, path: str, separator: str | None = None) -> Dat
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """c: the blocks of lines between blank ones, of UTF-8 files that are split among tasks at any byte. The files are read
     twice, for the inner blocks and for the edges of the splits."""
-    return _units(_pieces(spark, path).mapInArrow(_cut_at_blanks, _CUT), "\n").where("c <> ''")
+    inner, edges = (_pieces(spark, path).mapInArrow(_cut_at_blanks(x), _CUT) for x in (True, False))
+    return _units(inner, edges, "\n").where("c <> ''")
 
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
@@ -221,7 +259,8 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
         state = state if r["path"] == before else (0, 0)
         before, begins[r["path"], r["start"]] = r["path"], state
         state = (r["end1"], state[1] + r["deeper1"]) if state[0] else (r["end0"], state[1] + r["deeper0"])
-    return _units(pieces.mapInArrow(_cut_at_commas(begins), _CUT), ",").where(F.trim("c") != "")
+    cut = pieces.mapInArrow(_cut_at_commas(begins), _CUT)
+    return _units(cut.where("edge = 0"), cut.where("edge > 0"), ",").where(F.trim("c") != "")
 
 
 def load_text(spark: SparkSession, path: str, format: str = "plain", encoding: str = "utf-8") -> DataFrame:

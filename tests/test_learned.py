@@ -7,6 +7,7 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -372,3 +373,52 @@ def test_neighbours(spark):
     text = spark.createDataFrame([(1, "a dog sleeps")], "doc_id long, text string").select(augment.replace_synonyms("doc_id", "text", 1.0, table)).first()[0]
     assert text != "a dog sleeps" and len(text.split()) == 3
     assert neighbours.neighbours(spark.createDataFrame([], "text string")).count() == 0
+
+
+def by_lines(rows):
+    """(path, start, edge, unit) of lines, line by line."""
+    cutter, out = files._Cutter("\n"), []
+    for path, start, line in rows:
+        cutter.at(path, start)
+        if line.strip():
+            cutter.pieces.append(line)
+        else:
+            cutter.end()
+    cutter.close()
+    return cutter.found
+
+
+def cut(rows, size):
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + size]), (pa.string(), pa.int64(), pa.string()))], names=["path", "start", "value"]) for i in range(0, len(rows), size)]
+    return [[tuple(r.values()) for b in files._cut_at_blanks(inner)(iter(batches)) for r in b.to_pylist()] for inner in (True, False)]
+
+
+def test_blocks_are_cut_as_line_by_line_and_faster():
+    rng = random.Random(3)
+    for _ in range(300):
+        rows, at = [], [("a", 0)]
+        for _ in range(rng.randint(1, 40)):
+            if rng.random() < 0.15:
+                at.append(rng.choice([("a", len(at)), ("b", at[-1][1])]))
+            rows.append((*at[-1], rng.choice(["", " ", "\t", "\x1c", "\u3000", "\u00e9", "\u4e00 x", " a", "b T1", "c"])))
+        want, (inner, edges) = by_lines(rows), cut(rows, rng.randint(1, 9))
+        assert inner == [w for w in want if not w[2]] and edges == [w for w in want if w[2]]
+    rows = [("f", 0, f"word{i} T{i % 5}" if i % 150 else "") for i in range(60_000)]
+    batches = [pa.RecordBatch.from_pylist([{"path": p, "start": s, "value": v} for p, s, v in rows[i : i + 10_000]]) for i in range(0, len(rows), 10_000)]
+    began = time.process_time()
+    n = sum(b.num_rows for b in files._cut_at_blanks(True)(iter(batches)))
+    took = time.process_time() - began
+    began = time.process_time()
+    read = [r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("path", "start", "value")))]
+    want = len([w for w in by_lines(read) if not w[2]])
+    assert n == want and took < 0.6 * (time.process_time() - began)
+
+
+def test_conll_lines_are_stripped_as_one_by_one(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice(["a", "b", " ", "\t", "\n", "\n", "\r", "\r\n", "\u00a0", "\u2028", "\x1c", "\x0b"]) for _ in range(rng.randint(0, 30))) for _ in range(500)] + ["", " ", None]
+    white = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", files.conll_blocks(F.col("t")).alias("b")).collect()
+    for r in rows:
+        lines = "\n".join(x.strip(white) for x in re.split("\r\n|\r|\n", texts[r.i])) if texts[r.i] is not None else None
+        assert r.b == (None if lines is None else [b.strip(white) for b in re.split("\n{2,}", lines) if b.strip(white)]), texts[r.i]
