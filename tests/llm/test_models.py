@@ -273,6 +273,26 @@ def test_keys_find_edited_copies(size):
     assert sum(near(keys[a], keys[b]) for a in range(30) for b in range(a)) <= 9
 
 
+def test_images_in_blocks(spark, monkeypatch):
+    """Blocks of a few images give the classes of one block, and few strangers are compared."""
+    rows = [(9 * n + e, image_copies.pgm(image_copies.variant(700 + n, e)), n) for n in range(30) for e in (0, 1, 2, 3, 4, 5)]
+    rows += [(1000 + e, image_copies.pgm(image_copies.variant(999, e)), 1000) for e in range(16)]
+    df = spark.createDataFrame([r[:2] for r in rows], "image_id long, data binary").repartition(3)
+    for block, cells in ((400_000, 1_000_000), (2000, 50)):
+        monkeypatch.setattr(image_copies, "BLOCK", block)
+        monkeypatch.setattr(image_copies, "CELLS", cells)
+        got = {r.image_id: r.component_id for r in image_copies.image_groups(df).collect()}
+        assert got == {i: min(j for j, _, m in rows if m == n) for i, _, n in rows}
+    described = image_copies.describe([image_copies.decode(image_copies.pgm(image_copies.variant(5000 + n, 0))) for n in range(200)])
+    near = [np.stack(image_copies.neighbours(p), axis=1) for p, _ in described]
+    sizes = np.array([len(d) for _, d in described])
+    i, j = np.concatenate([x + at for x, at in zip(near, np.cumsum(sizes) - sizes)]).T
+    block = image_copies.Block(sizes, *map(np.concatenate, zip(*described)), i, j, np.arange(200))
+    drawn = [block.drawn(t) for t in range(image_copies.TABLES)]
+    # Of 19,900 pairs of strangers, counting shared keys alone compared one in a thousand.
+    assert len(image_copies._met(block, block, drawn, drawn)) <= 12
+
+
 # Pipeline and registry.
 
 
