@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from silkloom.functions.text import WORD_CHARS, WS, WS_CHARS, as_column, strip
-from silkloom.storage import ensure_checkpoint_dir
+from silkloom.storage import delete, stored
 
 #: Thresholds of the paper: abbreviations, words that open sentences, collocations.
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
@@ -41,32 +41,42 @@ def _bare(word: Column) -> Column:
     return F.regexp_replace(F.lower(word), f"^[^{WORD_CHARS}]+|[^{WORD_CHARS}.]+$", "")
 
 
+def _plain(bare: Column) -> Column:
+    return F.regexp_replace(bare, r"\.+$", "")
+
+
+def _type(plain: Column) -> Column:
+    return F.when(plain.rlike(r"^\p{N}[\p{N}.,]*$"), NUMBER).otherwise(plain)
+
+
 def word_type(word: Column) -> Column:
     """The word without its full stop; empty if it has neither letters nor digits."""
-    plain = F.regexp_replace(_bare(word), r"\.+$", "")
-    return F.when(plain.rlike(r"^\p{N}[\p{N}.,]*$"), NUMBER).otherwise(plain)
+    return _type(_plain(_bare(word)))
+
+
+def _stopped(bare: Column) -> Column:
+    return bare.rlike(r"[^.]\.$")
 
 
-def _stopped(word: Column) -> Column:
-    return _bare(word).rlike(r"[^.]\.$")
+def _end(word: Column) -> Column:
+    return F.regexp_extract(word, f"([.!?]+)[{CLOSERS}]*$", 1)
 
 
-def _mark(word: Column) -> Column:
+def _mark(end: Column, stopped: Column) -> Column:
     """What ends the word: `.`, `!` (also for ?), `..` or nothing."""
-    end = F.regexp_extract(word, f"([.!?]+)[{CLOSERS}]*$", 1)
-    return F.when(end == "", "").when(F.contains(end, F.lit("!")) | F.contains(end, F.lit("?")), "!").when(_stopped(word), ".").otherwise("..")
+    return F.when(end == "", "").when(F.contains(end, F.lit("!")) | F.contains(end, F.lit("?")), "!").when(stopped, ".").otherwise("..")
 
 
 def _first(word: Column) -> Column:
     return F.regexp_extract(word, f"^[^{WORD_CHARS}]*([{WORD_CHARS}])", 1)
 
 
-def _upper(word: Column) -> Column:
-    return _first(word).rlike(r"^\p{Lu}")
+def _upper(first: Column) -> Column:
+    return first.rlike(r"^\p{Lu}")
 
 
-def _lower(word: Column) -> Column:
-    return _first(word).rlike(r"^\p{Ll}")
+def _lower(first: Column) -> Column:
+    return first.rlike(r"^\p{Ll}")
 
 
 def _log(x: Column) -> Column:
@@ -129,40 +139,51 @@ def _borders(texts: DataFrame, key: str, text: str) -> DataFrame:
     two = F.arrays_zip(F.slice("s", F.lit(1), but_one).alias("a"), F.slice("s", F.lit(2), but_one).alias("b"))
     at = cut.select("key", "h", F.posexplode(two).alias("at", "p"))
     word = F.regexp_extract("p.a", f"(?s)^(?:.*{WS})?([^{WS_CHARS}]+){WS}*\\z", 1)
-    return at.select("key", "h", "at", word.alias("word"), F.regexp_extract("p.b", f"^{WS}*([^{WS_CHARS}]+)", 1).alias("after"))
+    after = F.regexp_extract("p.b", f"^{WS}*([^{WS_CHARS}]+)", 1)
+    # Never null, as Spark can tell: a join on them would else extract them twice, to drop nulls.
+    return at.select("key", "h", "at", F.coalesce(word, F.lit("")).alias("word"), F.coalesce(after, F.lit("")).alias("after"))
 
 
 def _typed(pairs: DataFrame) -> DataFrame:
     """pairs (word, after) with mark, type, next, upper and lower, as the rules read them; `word` is always set off by its mark."""
-    mark = _mark(F.col("word"))
-    kind = F.when(mark == ".", word_type(F.col("word"))).otherwise("")
-    return pairs.select("*", mark.alias("mark"), kind.alias("type"), word_type(F.col("after")).alias("next"), _upper(F.col("after")).alias("upper"), _lower(F.col("after")).alias("lower"))
+    # In steps: what several of them read is worked out once a pair.
+    words = pairs.select("*", _bare(F.col("word")).alias("b"), _end(F.col("word")).alias("e"), _bare(F.col("after")).alias("nb"), _first(F.col("after")).alias("f"))
+    words = words.select("*", _stopped(F.col("b")).alias("s"), _plain(F.col("b")).alias("p"), _plain(F.col("nb")).alias("np"))
+    marked = words.select("*", _mark(F.col("e"), F.col("s")).alias("mark"))
+    kind = F.when(F.col("mark") == ".", _type(F.col("p"))).otherwise("")
+    return marked.select(*pairs.columns, "mark", kind.alias("type"), _type(F.col("np")).alias("next"), _upper(F.col("f")).alias("upper"), _lower(F.col("f")).alias("lower"))
 
 
 def learn(texts: DataFrame, text: str = "text") -> SentenceModel:
     """Words, and pairs around ending marks, are counted as written, before the shuffle; all the rest, marks and types included,
     works on the distinct ones."""
-    ensure_checkpoint_dir(texts.sparkSession)
     keyed = texts.select(F.lit(0).alias("key"), F.col(text).alias("text"))
-    return _learn(texts, text, _borders(keyed, "key", "text").groupBy("word", "after").agg(F.count("*").alias("m")))
+    return _learn(texts, text, _typed_pairs(_borders(keyed, "key", "text"))[0])
+
+
+def _typed_pairs(borders: DataFrame) -> tuple[DataFrame, str]:
+    """Distinct pairs with their number m, typed once and stored, and the path."""
+    return stored(_typed(borders.groupBy("word", "after").agg(F.count("*").alias("m"))))
 
 
 def _learn(texts: DataFrame, text: str, pairs: DataFrame) -> SentenceModel:
-    pairs = _typed(pairs).checkpoint()
     word = F.col("word")
     ended = pairs.groupBy(F.col("after").alias("word")).agg(F.sum("m").alias("ended"))
     raw = _words(texts, text).join(ended, "word", "left").withColumn("inside", F.col("n") - F.col("opening") - F.coalesce("ended", F.lit(0)))
     number = lambda c, of: F.coalesce(F.sum(F.when(c, F.col(of))), F.lit(0))
-    types = raw.groupBy(word_type(word).alias("type")).agg(F.sum("n").alias("n"), number(_stopped(word), "n").alias("stopped"), number(_lower(word), "n").alias("lower"), number(_upper(word), "inside").alias("inner_upper"))
-    types = types.where("type <> ''").checkpoint()
+    raw = raw.select("n", "inside", _bare(word).alias("b"), _first(word).alias("f")).select("n", "inside", "f", _stopped(F.col("b")).alias("s"), _plain(F.col("b")).alias("p"))
+    raw = raw.select("n", "inside", "s", _type(F.col("p")).alias("type"), _lower(F.col("f")).alias("l"), _upper(F.col("f")).alias("u"))
+    types = raw.groupBy("type").agg(F.sum("n").alias("n"), number(F.col("s"), "n").alias("stopped"), number(F.col("l"), "n").alias("lower"), number(F.col("u"), "inside").alias("inner_upper"))
+    # Filtered when it is stored: before, the filter would move below both counts, to every word of the texts.
+    types = stored(types)[0].where("type <> ''")
     around = pairs.where("next <> '' and mark <> '..'").groupBy("mark", "type", "next", "upper").agg(F.sum("m").alias("n"))
     totals = types.agg(F.sum("n").alias("total"), F.sum("stopped").alias("stops"))  # one row
     plain = F.col("n") - F.col("stopped")
     scored = types.where((F.col("stopped") > 0) & (F.col("type") != NUMBER)).crossJoin(totals)
     scored = scored.select("type", "stopped", plain.alias("plain"), abbreviation_score(F.col("stopped"), plain, F.col("stops"), F.col("total"), F.col("type")).alias("score"))
-    abbreviations = scored.where(F.col("score") >= ABBREVIATION).checkpoint()
+    abbreviations, _ = stored(scored.where(F.col("score") >= ABBREVIATION))
     listed = abbreviations.select("type", F.lit(True).alias("listed"))
-    keeps = around.join(listed, "type", "left").withColumn("keeps", (F.col("mark") == ".") & _keeps_stop(F.col("type"), F.coalesce("listed", F.lit(False)))).drop("listed").checkpoint()
+    keeps, _ = stored(around.join(listed, "type", "left").withColumn("keeps", (F.col("mark") == ".") & _keeps_stop(F.col("type"), F.coalesce("listed", F.lit(False)))).drop("listed"))
     ends = keeps.where("not keeps").groupBy(F.col("next").alias("type")).agg(F.sum("n").alias("opens"))
     all_ends = ends.agg(F.sum("opens").alias("ends"))  # one row
     starters = ends.join(types, "type").crossJoin(totals).crossJoin(all_ends).where(F.col("type") != NUMBER)
@@ -173,15 +194,15 @@ def _learn(texts: DataFrame, text: str, pairs: DataFrame) -> SentenceModel:
     kept = kept.join(types.select("type", F.col("n").alias("na")), "type").join(facts, "next").crossJoin(totals)
     kept = kept.withColumn("score", association(F.col("na"), F.col("nb"), F.col("both"), F.col("total")))
     together = (F.col("both") > 1) & (F.col("score") >= COLLOCATION) & (F.col("both") * F.col("total") > F.col("na") * F.col("nb"))
-    kept = kept.withColumn("together", together).checkpoint()
+    kept, _ = stored(kept.withColumn("together", together))
     opens = kept.join(starters.select(F.col("type").alias("next"), F.lit(True).alias("starter")), "next", "left")
     breaks = opens.where(F.col("upper") & ~F.col("together") & (F.coalesce("starter", F.lit(False)) | (F.col("lower") > 0) & (F.col("inner_upper") == 0)))
-    return SentenceModel(abbreviations, starters, kept.where("together").select("type", "next", F.col("both").alias("n"), "score"), breaks.select("type", "next").checkpoint())
+    return SentenceModel(abbreviations, starters, kept.where("together").select("type", "next", F.col("both").alias("n"), "score"), stored(breaks.select("type", "next"))[0])
 
 
 def _stays(pairs: DataFrame, model: SentenceModel) -> DataFrame:
-    """word, after: the pairs whose mark does not end a sentence."""
-    typed = _typed(pairs.select("word", "after")).where("mark <> '!'")
+    """word, after: the typed pairs whose mark does not end a sentence."""
+    typed = pairs.where("mark <> '!'")
     listed = model.abbreviations.select("type", F.lit(True).alias("listed"))
     known = typed.where("mark = '.'").join(listed, "type", "left").where(_keeps_stop(F.col("type"), F.coalesce("listed", F.lit(False))))
     known = known.join(model.breaks.withColumn("open", F.lit(True)), ["type", "next"], "left")
@@ -193,11 +214,11 @@ def learned_sentences(texts: DataFrame, key: str = "doc_id", text: str = "text",
     """key, pos, sentence: stripped sentences of least to most characters, by a model learned from the same texts if none is
     given. Whether a mark ends a sentence is worked out once for each distinct pair of words around it; only the places where it
     does not are sent back to their texts. Rows of equal key and text stay apart."""
-    ensure_checkpoint_dir(texts.sparkSession)
     at = _borders(texts, key, text)  # read from the texts twice: less than it would take to store
-    pairs = at.groupBy("word", "after").agg(F.count("*").alias("m")).checkpoint()
-    model = model or _learn(texts, text, pairs)
-    on = at.join(_stays(pairs, model).checkpoint(), ["word", "after"])
+    pairs, at_pairs = _typed_pairs(at)
+    stays, _ = stored(_stays(pairs, model or _learn(texts, text, pairs)))
+    delete(texts.sparkSession, at_pairs)
+    on = at.join(stays, ["word", "after"])
     joined = on.groupBy(F.col("key").alias("of"), F.col("h").alias("text")).agg(F.collect_set("at").alias("on"))
     cut = texts.select(F.col(key).alias("key"), _digest(text).alias("h"), stretches(text).alias("s"))
     both = cut.join(joined, F.col("key").eqNullSafe(F.col("of")) & (F.col("h") == F.col("text")), "left").select("key", "s", F.coalesce("on", F.array().cast("array<int>")).alias("on"))

@@ -65,6 +65,22 @@ def test_learned_sentences_keep_rows_apart(spark, model):
     assert sentence_ends.learned_sentences(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_word_types_are_worked_out_once_a_word(spark, monkeypatch):
+    """No filter on types moves below the count of words, where it would be worked out at every place."""
+    plans, kept = [], sentence_ends.stored
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df)
+
+    monkeypatch.setattr(sentence_ends, "stored", stored)
+    model = sentence_ends.learn(spark.createDataFrame([("Ask Dr. Smith. He ran.",), ("- He ran.",)], "text string"))
+    assert model.starters.where("type = ''").count() == 0
+    counted = next(p for p in plans if "inner_upper" in p and "explode" in p)
+    every = [line for line in counted.splitlines() if "Filter" in line]
+    assert every and not any("lower(" in line for line in every), every
+
+
 # Spelling.
 
 
