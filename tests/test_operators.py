@@ -152,6 +152,41 @@ def test_near_duplicates_of_many_blocks_equal_brute_force(spark, monkeypatch):
     assert got == want and sum(i < j for i, j in want) > 20 and similarity.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_blocks_are_built_once_a_task_and_pairs_equal_brute_force(monkeypatch):
+    """A task that meets three blocks in six pairs builds three; few slots and meetings at a time give the same pairs."""
+    import math
+    import random
+    from collections import Counter
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    bags = [[rng.randint(1, 60) for _ in range(rng.randint(3, 30))] for _ in range(60)]
+    bags += [b[: len(b) - len(b) // 12] + [rng.randint(100, 999)] * rng.randint(0, 1) for b in bags]
+    bags = [list(b) for b in sorted({tuple(sorted(b)) for b in bags})]
+    df = Counter(t for b in bags for t in set(b))
+    packed = []
+    for k in range(3):
+        mine = [i for i in range(len(bags)) if i % 3 == k]
+        rows = [(i, 0, bags[i]) for i in mine] + [(i, 1, []) for i in mine]
+        columns = [pa.array([k] * len(rows), pa.int32()), *(pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.list_(pa.int64()))))]
+        frequent = np.array(sorted(df)), np.array([df[t] for t in sorted(df)])
+        packed += similarity._packed(frequent)([pa.RecordBatch.from_arrays(columns, names=["block", "id", "m", "terms"])])
+    built = []
+    init = similarity.Block.__init__
+    monkeypatch.setattr(similarity.Block, "__init__", lambda self, *a: (built.append(1), init(self, *a))[1])
+    monkeypatch.setattr(similarity, "CELLS", 50)
+    monkeypatch.setattr(similarity, "SLOT", 3, raising=False)
+    pairs = [pa.RecordBatch.from_arrays(packed[x].columns + packed[y].columns, names=[f"{c}_{s}" for s in "ab" for c in packed[0].schema.names]) for x in range(3) for y in range(x, 3)]
+    got = {(r["i"], r["j"]): round(r["similarity"], 9) for b in similarity._compared(len(bags), 0.9, pa.int64())(pairs) for r in b.to_pylist()}
+    vectors = [{t: n * (math.log((1 + len(bags)) / (1 + df[t])) + 1) for t, n in Counter(b).items()} for b in bags]
+    size = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    product = {(i, j): sum(x * b.get(t, 0.0) for t, x in a.items()) / size[i] / size[j] for i, a in enumerate(vectors) for j, b in enumerate(vectors) if i < j}
+    assert got == {k: round(x, 9) for k, x in product.items() if x > 0.9} and len(got) > 30
+    assert len(built) == 3
+
+
 def test_graph(spark):
     answers = {"root": "is_a: thing\npart_of: whole", "thing": "is_a: root\nrelated_to: far", "far": "is_a: deeper"}
 
