@@ -187,6 +187,15 @@ def test_blocks_are_built_once_a_task_and_pairs_equal_brute_force(monkeypatch):
     assert len(built) == 3
 
 
+def test_pairs_of_blocks_come_one_a_batch(spark, monkeypatch):
+    """Two pairs of blocks in a batch are twice the memory; the session's own setting is back afterwards."""
+    name, seen, store = "spark.sql.execution.arrow.maxBytesPerBatch", [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, *a: (seen.append(spark.conf.get(name, None)), store(df, *a))[1])
+    before = spark.conf.get(name, None)
+    similarity.near_duplicates(spark.createDataFrame([(1, "one two"), (2, "two one")], "doc_id long, text string"))
+    assert seen[-1] == "1" and "1" not in seen[:-1] and spark.conf.get(name, None) == before
+
+
 def test_graph(spark):
     answers = {"root": "is_a: thing\npart_of: whole", "thing": "is_a: root\nrelated_to: far", "far": "is_a: deeper"}
 
